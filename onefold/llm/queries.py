@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onefold.llm import packing
+from onefold.llm import coding, packing
 from onefold.llm.common import table
 
 
@@ -14,8 +14,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coding.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_packing": op5_packing}
+    return {"op5_packing": op5_packing, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
