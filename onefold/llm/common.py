@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Text bytes that one step of a Python worker holds at a time; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
+#: Spark's setting by which a finished query's shuffle files go.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,9 +41,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a scratch Parquet table, read back. It survives lost executors and is computed once."""
-    spark = df.sparkSession
-    df.write.option("compression", "zstd").parquet(path := scratch_path(spark, name))
+    """`df` as a scratch Parquet table, read back. It survives lost executors and is computed once.
+
+    The shuffle files that it took are deleted when it is written.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onefold.llm import coding, packing
+from onefold.llm import coding, packing, substrings
 from onefold.llm.common import table
 
 
@@ -14,13 +14,29 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+     firsts AS (SELECT key, min(doc_id) AS first FROM win GROUP BY key),
+     hit AS (SELECT win.doc_id, win.i FROM win JOIN firsts USING (key) WHERE win.doc_id > firsts.first),
+     gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM hit) GROUP BY doc_id),
+     kept AS (SELECT d.doc_id, len(w) AS n_words, CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END AS k
+              FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id)
+SELECT doc_id, n_words, n_words - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.round_trip(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_packing": op5_packing, "op9_byte_bpe": op9_byte_bpe}
+    return {"op5_packing": op5_packing, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_substring_dedup": OP8_SQL}
