@@ -1,12 +1,7 @@
-"""What the text operators share: reading tables, scratch tables, small batches.
-
-Scratch tables go to the folder that the cluster names in ``spark.checkpoint.dir``, which every executor can reach.
-"""
+"""What the text operators share: reading tables, texts without nulls, small batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,53 +9,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from onefold.scratch import written
+
+__all__ = ["STEP_BYTES", "steps", "table", "text_of", "written"]
+
 #: Text bytes that one step of a Python worker holds at a time; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
-#: Spark's setting by which a finished query's shuffle files go.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables. A local one is set only where the session names none (tests, one machine)."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not (found := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="onefold-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the scratch folder that no other run uses."""
-    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a scratch Parquet table, read back. It survives lost executors and is computed once.
-
-    The shuffle files that it took are deleted when it is written.
-    """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """A text column as a string, null as the empty text."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
