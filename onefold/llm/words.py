@@ -77,6 +77,16 @@ class Words:
         """Words of each text."""
         return np.bincount(self.doc, minlength=self.n_texts)
 
+    def first_words(self) -> np.ndarray:
+        """The number of the first word of each text, with the end."""
+        return np.searchsorted(self.doc, np.arange(self.n_texts + 1))
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of all the words of each text."""
+        at = self.first_words()
+        one, two = (rolling(seed + 50).spans(self.hashes(seed), at[:-1], at[1:]) for seed in (0, 1))
+        return one, two
+
     def windows(self, width: int) -> np.ndarray:
         """The first word of each window of `width` consecutive words of one text."""
         if len(self.doc) < width:
