@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onefold.llm import coding, minhash, packing, substrings
+from onefold.llm import coding, minhash, packing, secrets, substrings
 from onefold.llm.common import table
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,8 +43,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_minhash": op4_minhash, "op5_packing": op5_packing, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe}
+    return {"op2_secret_scan": op2_secret_scan, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_substring_dedup": OP8_SQL}
+    return {"op2_secret_scan": secrets.sql(), "op8_substring_dedup": OP8_SQL}
