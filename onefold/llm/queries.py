@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onefold.llm import coding, minhash, packing, secrets, substrings
+from onefold.llm import coding, minhash, packing, quality, secrets, substrings
 from onefold.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secret_scan": op2_secret_scan, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe}
+    return {"op2_secret_scan": op2_secret_scan, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
