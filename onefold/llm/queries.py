@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onefold.llm import coding, minhash, packing, quality, secrets, substrings
+from onefold.llm import coding, html, minhash, packing, quality, secrets, substrings
 from onefold.llm.common import table
 
 
@@ -46,8 +46,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secret_scan": op2_secret_scan, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe}
+    return {"op2_secret_scan": op2_secret_scan, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_html_text": op10_html_text}
 
 
 def oracle_sql() -> dict[str, str]:
