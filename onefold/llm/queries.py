@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onefold.llm import coding, html, minhash, packing, quality, secrets, substrings
+from onefold.llm import coding, embeddings, html, minhash, packing, quality, secrets, substrings
 from onefold.llm.common import table
 
 
@@ -26,6 +26,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+     l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+     reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x),
+     c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+     n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT c.x AS vec_id, coalesce(n.n, 0) AS n_links, component_id, c.x = component_id AS kept FROM c LEFT JOIN n ON c.x = n.x
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -51,8 +65,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secret_scan": op2_secret_scan, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_html_text": op10_html_text}
+    return {"op2_secret_scan": op2_secret_scan, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules, "op7_embedding_dedup": op7_embedding_dedup, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_html_text": op10_html_text}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.sql(), "op8_substring_dedup": OP8_SQL}
+    return {"op2_secret_scan": secrets.sql(), "op7_embedding_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL}
