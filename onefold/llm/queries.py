@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onefold.llm import coding, embeddings, html, minhash, packing, quality, secrets, substrings
-from onefold.llm.common import table
+from onefold.llm import coding, counting, embeddings, html, minhash, packing, quality, secrets, sharding, substrings
+from onefold.llm.common import table, text_of
+from onefold.scratch import scratch_path
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.resharded(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return counting.recount(docs, counting.masks(text_of(docs)))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,7 +75,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secret_scan": op2_secret_scan, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules, "op7_embedding_dedup": op7_embedding_dedup, "op8_substring_dedup": op8_substring_dedup, "op9_byte_bpe": op9_byte_bpe, "op10_html_text": op10_html_text}
+    return {
+        "op1_sharding": op1_sharding,
+        "op2_secret_scan": op2_secret_scan,
+        "op3_token_counts": op3_token_counts,
+        "op4_minhash": op4_minhash,
+        "op5_packing": op5_packing,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_embedding_dedup": op7_embedding_dedup,
+        "op8_substring_dedup": op8_substring_dedup,
+        "op9_byte_bpe": op9_byte_bpe,
+        "op10_html_text": op10_html_text,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
