@@ -5,18 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from onefold.llm import packing
+from onefold.llm import minhash, packing, quality, secrets, substrings
 from onefold.llm.common import table, written
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned rules reject go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each class of near-duplicates stays."""
+    return minhash.one_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows that an earlier document has are cut out of the texts; n_chars is counted anew."""
+    cut = substrings.remove_repeats(docs, texts=True).where("n_removed > 0").select("doc_id", F.col("text").alias("__text")).dropDuplicates(["doc_id"])
+    new = docs.join(cut, "doc_id", "left")
+    text = F.coalesce("__text", "text")
+    return new.withColumn("n_chars", F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("__text"))).withColumn("text", text).select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; no document goes."""
+    return secrets.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("minhash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("secret scan", secret_scan),
+    ("packing", pack),
+]
 
-#: Ids of a tokenizer and hashes of texts can't be had in SQL; tests/llm holds the stages against brute force.
+#: Learned rules and ids of a tokenizer can't be had in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
