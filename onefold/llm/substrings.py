@@ -31,6 +31,8 @@ WIDTH, RUN = 13, 5
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 TEXTS = "doc_id long, text string, n_words long, n_removed long, intervals array<struct<first:long,last:long>>"
 
+_INTERVALS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
 
 def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
@@ -40,24 +42,12 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _first_words(w: Words) -> np.ndarray:
-    """The number of the first word of each text, with the end."""
-    return np.searchsorted(w.doc, np.arange(w.n_texts + 1))
-
-
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A 128-bit hash of each document's words."""
     for step in common.steps(batches, "text"):
         w = words(step.column("text"))
-        at = _first_words(w)
-        one, two = (window_spans(w, at, seed) for seed in (0, 1))
-        yield _batch({"doc_id": step.column("doc_id"), "k": step.column("k"), "n_words": np.diff(at), "h1": _signed(one), "h2": _signed(two)})
-
-
-def window_spans(w: Words, at: np.ndarray, seed: int) -> np.ndarray:
-    from onefold.llm.words import rolling
-
-    return rolling(seed + 50).spans(w.hashes(seed), at[:-1], at[1:])
+        one, two = w.digests()
+        yield _batch({"doc_id": step.column("doc_id"), "k": step.column("k"), "n_words": w.counts(), "h1": _signed(one), "h2": _signed(two)})
 
 
 def anchors(w: Words, width: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,24 +83,20 @@ def _anchor_places(width: int, run: int):
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in common.steps(batches, "text"):
             w = words(step.column("text"))
-            begin = _first_words(w)
-            at, which = np.unique(anchors(w, width, run)[1], return_index=True)
-            key = anchors_at(w, at, run)
+            begin = w.first_words()
+            at = np.unique(anchors(w, width, run)[1])
+            key = window_hashes(w.hashes(), at, run)
             row = w.doc[at]
             yield _batch({"anchor": _signed(key), "doc_id": step.column("doc_id").to_numpy()[row], "k": step.column("k").to_numpy()[row], "at": (at - begin[row]).astype(np.int32)})
 
     return run_
 
 
-def anchors_at(w: Words, at: np.ndarray, run: int) -> np.ndarray:
-    return window_hashes(w.hashes(), at, run)
-
-
 def _windows(width: int, run: int):
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in common.steps(batches, "text"):
             w = words(step.column("text"))
-            begin = _first_words(w)
+            begin = w.first_words()
             shared = np.zeros(len(w.doc) + 1, bool)
             places = step.column("places")
             row = np.repeat(np.arange(step.num_rows), np.diff(places.offsets.to_numpy()))
@@ -136,7 +122,7 @@ def _cut(width: int, texts: bool):
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in common.steps(batches, "text"):
             w = words(step.column("text"))
-            at, data = _first_words(w), w.data.tobytes()
+            at, data = w.first_words(), w.data.tobytes()
             whole, places, rows = step.column("whole").to_pylist(), step.column("places"), []
             for i in range(step.num_rows):
                 lo, hi = int(at[i]), int(at[i + 1])
@@ -155,8 +141,9 @@ def _cut(width: int, texts: bool):
                     stay = np.flatnonzero(~gone) + lo
                     kept = [data[a:b] for a, b in zip(w.start[stay].tolist(), w.end[stay].tolist(), strict=True)]
                     rows.append((hi - lo, int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            names = [x.split()[0] for x in (TEXTS if texts else RESULT).split(", ")]
-            yield _batch(dict(zip(names, [step.column("doc_id"), *zip(*rows, strict=True)], strict=True)) if not texts else {"doc_id": step.column("doc_id"), "text": [r[0] for r in rows], "n_words": [r[1] for r in rows], "n_removed": [r[2] for r in rows], "intervals": pa.array([r[3] for r in rows], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))})
+            schema = pa.schema([("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("intervals", _INTERVALS)] if texts else [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+            found = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), schema.types, strict=True)]
+            yield pa.RecordBatch.from_arrays([step.column("doc_id"), *found], ["doc_id", *schema.names])
 
     return run_
 
@@ -177,6 +164,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, width: int = WIDTH, run
 
     whole = common.written(known.mapInArrow(_whole, "doc_id long, k short, n_words long, h1 long, h2 long").where(F.col("n_words") >= width), "whole")
     firsts = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    firsts = common.written(firsts, "firsts")  # so that the join has a plain shuffle on either side, which Spark can split
     copies = common.written(whole.join(firsts, ["h1", "h2"]).where("doc_id > first").select("doc_id", "k").distinct(), "copies")
     originals = known.join(copies, ["doc_id", "k"], "left_anti")
 
@@ -187,6 +175,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, width: int = WIDTH, run
 
     windows = known.join(places, ["doc_id", "k"]).select("doc_id", "k", "text", "places").mapInArrow(_windows(width, run), "h1 long, h2 long, doc_id long, k short, at int")
     firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    firsts = common.written(firsts, "firsts")
     repeats = windows.join(firsts, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id", "k").agg(F.collect_list("at").alias("places"))
     marks = repeats.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True)
     marks = common.written(marks, "repeats")
