@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from onefold.llm import minhash, packing, quality, secrets, substrings
 from onefold.llm.common import table, written
@@ -23,10 +22,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows that an earlier document has are cut out of the texts; n_chars is counted anew."""
-    cut = substrings.remove_repeats(docs, texts=True).where("n_removed > 0").select("doc_id", F.col("text").alias("__text")).dropDuplicates(["doc_id"])
-    new = docs.join(cut, "doc_id", "left")
-    text = F.coalesce("__text", "text")
-    return new.withColumn("n_chars", F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("__text"))).withColumn("text", text).select(docs.columns)
+    return substrings.without_repeats(docs).select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from onefold.llm import common
 from onefold.llm.words import Words, window_hashes, words
@@ -29,9 +30,8 @@ from onefold.llm.words import Words, window_hashes, words
 WIDTH, RUN = 13, 5
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-TEXTS = "doc_id long, text string, n_words long, n_removed long, intervals array<struct<first:long,last:long>>"
 
-_INTERVALS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+_INTERVALS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
@@ -118,50 +118,62 @@ def covered(n: int, firsts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _cut(width: int, texts: bool):
-    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(step: pa.RecordBatch, width: int, prefix: str = "") -> Iterator[tuple[Words, int, int, np.ndarray]]:
+    """For each row: all the words of the step, the row's first word and its end, and which of its words go."""
+    w = words(step.column("text").fill_null(""))
+    at, whole, places = w.first_words(), step.column(prefix + "whole").to_pylist(), step.column(prefix + "places")
+    for i in range(step.num_rows):
+        lo, hi = int(at[i]), int(at[i + 1])
+        firsts = places[i].values.to_numpy() if places[i].is_valid else np.zeros(0, np.int64)
+        yield w, lo, hi, np.ones(hi - lo, bool) if whole[i] else covered(hi - lo, firsts, width)
+
+
+def _digested(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in common.steps(batches, "text"):
-            w = words(step.column("text"))
-            at, data = w.first_words(), w.data.tobytes()
-            whole, places, rows = step.column("whole").to_pylist(), step.column("places"), []
-            for i in range(step.num_rows):
-                lo, hi = int(at[i]), int(at[i + 1])
-                begin, end = int(w.text_starts[i]), int(w.text_starts[i + 1])
-                firsts = places[i].values.to_numpy() if places[i].is_valid else np.zeros(0, np.int64)
-                gone = np.ones(hi - lo, bool) if whole[i] else covered(hi - lo, firsts, width)
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
-                if texts:
-                    kept, last = [], begin
-                    for a, b in edges:
-                        kept.append(data[last : w.start[lo + a]])
-                        last = int(w.start[lo + b]) if lo + b < hi else end
-                    kept.append(data[last:end])
-                    rows.append((b"".join(kept).decode(), hi - lo, int(gone.sum()), [{"first": int(a), "last": int(b) - 1} for a, b in edges]))
-                else:
-                    stay = np.flatnonzero(~gone) + lo
-                    kept = [data[a:b] for a, b in zip(w.start[stay].tolist(), w.end[stay].tolist(), strict=True)]
-                    rows.append((hi - lo, int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            schema = pa.schema([("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("intervals", _INTERVALS)] if texts else [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-            found = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), schema.types, strict=True)]
-            yield pa.RecordBatch.from_arrays([step.column("doc_id"), *found], ["doc_id", *schema.names])
+            rows, data = [], None
+            for w, lo, hi, gone in _cut(step, width):
+                data = w.data.tobytes() if data is None else data
+                stay = np.flatnonzero(~gone) + lo
+                kept = [data[a:b] for a, b in zip(w.start[stay].tolist(), w.end[stay].tolist(), strict=True)]
+                rows.append((hi - lo, int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            yield _batch(dict(zip(("doc_id", "n_words", "n_removed", "kept_sha256"), (step.column("doc_id"), *zip(*rows, strict=True)), strict=True)))
 
-    return run_
+    return run
 
 
-def remove_repeats(docs: DataFrame, texts: bool = False, width: int = WIDTH, run: int = RUN) -> DataFrame:
-    """Removes each word covered by a window of `width` words that also starts in a document with a smaller doc_id.
+def intervals(gone: np.ndarray) -> np.ndarray:
+    """Longest runs of words that go, as rows (first, end)."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))).reshape(-1, 2)
 
-    `docs` has doc_id and text; other columns are ignored, whatever their names. Windows are judged on the input. The rows are
-    `RESULT`, or with `texts` `TEXTS`: the text without the removed words and the white space after them, and the longest
-    removed intervals in words, ends included. Null and empty texts have no words; texts under `width` words lose none. A
-    document with a null doc_id comes back unchanged and is earlier than none. Of rows with one doc_id none is earlier.
-    An empty table gives no rows.
-    """
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
-    docs = docs.withColumn("k", (F.xxhash64("text") % 30_000).cast("short"))  # tells apart rows with one doc_id
-    known = docs.where("doc_id is not null")
-    spark = docs.sparkSession
 
+def _rewritten(width: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in common.steps(batches, "text"):
+            texts, removed, data = step.column("text").to_pylist(), [], None
+            for i, (w, lo, hi, gone) in enumerate(_cut(step, width, "__")):
+                removed.append([{"first": int(a), "end": int(b)} for a, b in intervals(gone)])
+                if not removed[-1]:
+                    continue
+                data = w.data.tobytes() if data is None else data
+                last, kept = int(w.text_starts[i]), []
+                for a, b in intervals(gone):
+                    kept.append(data[last : w.start[lo + a]])
+                    last = int(w.start[lo + b]) if lo + b < hi else int(w.text_starts[i + 1])
+                texts[i] = b"".join([*kept, data[last : w.text_starts[i + 1]]]).decode()
+            columns = {name: step.column(name) for name in names} | {"text": pa.array(texts, pa.string()), "__removed": pa.array(removed, _INTERVALS)}
+            if "n_chars" in names:
+                new = [len(text) if gone else old for text, gone, old in zip(texts, removed, step.column("n_chars").to_pylist(), strict=True)]
+                columns["n_chars"] = pa.array(new, step.column("n_chars").type)
+            yield _batch(columns)
+
+    return run
+
+
+def _marks(docs: DataFrame, width: int, run: int) -> DataFrame:
+    """__doc, __k, __places (words that begin a repeated window) and __whole (all words go), for documents that lose words."""
+    docs = docs.select("__doc", "__k", "__text").toDF("doc_id", "k", "text")
+    known = docs.where("doc_id is not null")
     whole = common.written(known.mapInArrow(_whole, "doc_id long, k short, n_words long, h1 long, h2 long").where(F.col("n_words") >= width), "whole")
     firsts = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     firsts = common.written(firsts, "firsts")  # so that the join has a plain shuffle on either side, which Spark can split
@@ -178,5 +190,35 @@ def remove_repeats(docs: DataFrame, texts: bool = False, width: int = WIDTH, run
     firsts = common.written(firsts, "firsts")
     repeats = windows.join(firsts, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id", "k").agg(F.collect_list("at").alias("places"))
     marks = repeats.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True)
-    marks = common.written(marks, "repeats")
-    return docs.join(marks, ["doc_id", "k"], "left").select("doc_id", "text", "places", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(_cut(width, texts), TEXTS if texts else RESULT)
+    return common.written(marks.toDF("__doc", "__k", "__places", "__whole"), "repeats")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with __doc and __text, and __k, which tells apart rows with one doc_id."""
+    return docs.withColumns({"__doc": docs["doc_id"].cast("long"), "__text": common.text_of(docs)}).withColumn("__k", (F.xxhash64("__text") % 30_000).cast("short"))
+
+
+def _marked(docs: DataFrame, width: int, run: int) -> DataFrame:
+    keyed = _keyed(docs)
+    return keyed.join(_marks(keyed, width, run), ["__doc", "__k"], "left").withColumn("__whole", F.coalesce("__whole", F.lit(False)))
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN) -> DataFrame:
+    """Removes each word covered by a window of `width` words that also starts in a document with a smaller doc_id: `RESULT`.
+
+    `docs` has doc_id and text; other columns are ignored, whatever their names. Windows are judged on the input. Null and
+    empty texts have no words; texts under `width` words lose none. A document with a null doc_id loses none and is
+    earlier than none. Of rows with one doc_id none is earlier. An empty table gives no rows.
+    """
+    rows = _marked(docs.select("doc_id", "text"), width, run)
+    return rows.select(F.col("__doc").alias("doc_id"), F.col("__text").alias("text"), F.col("__places").alias("places"), F.col("__whole").alias("whole")).mapInArrow(_digested(width), RESULT)
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH, run: int = RUN) -> DataFrame:
+    """`docs` with the same words removed from text, and the white space after them; other columns as they were.
+
+    n_chars, if there is one, is counted anew where words went. __removed holds the longest removed intervals in words, from
+    first to end (not included). Texts that lose nothing, nulls too, stay as they are. Other cases as in `remove_repeats`.
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField("__removed", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])))])
+    return _marked(docs, width, run).select(*docs.columns, "__places", "__whole").mapInArrow(_rewritten(width, docs.columns), schema)
