@@ -5,9 +5,11 @@ rate is its weight, each to a random register; a register keeps the shingle of i
 same shingle in a register with the probability of their probability Jaccard similarity. A shingle's process ends as
 soon as its next arrival is later than all that the registers hold.
 
-Texts with equal words are one class before anything is compared. In each band's bucket the texts are compared with the
-least of them, and where that leaves a bucket in more than one component, with the members of the bucket's other
-components; so what is compared grows with the members, not with their pairs, and no link that joins components is left out.
+Texts with equal words are one class before anything is compared. A bucket's hub is the text whose buckets are largest, as
+is the middle of a group of copies; texts are first compared with the hubs of their buckets. Where that leaves the texts of
+a hub in more than one component, they are dealt into blocks, and two blocks at a time their registers are
+compared; pairs of different components whose registers agree often enough are then compared exactly. So pairs within a
+group are never listed, and no link that joins components is left out but by the odds below.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ from onefold.llm.words import Words, mixed, window_hashes, words
 from onefold.operators.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8**4)**24, 3 in a million.
-BANDS, ROWS = 24, 4
+#: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8**5)**36, 6 in ten million.
+BANDS, ROWS = 36, 5
+#: Pairs whose registers agree less than the similarity by so many standard deviations are not compared exactly: 5 in a million.
+DEVIATIONS = 4.4
+BLOCK = 256
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,17 +74,20 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(w.counts()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "n_words", "h1", "h2"])
 
 
-def _bands(bands: int, rows: int):
+def _registers(bands: int, rows: int):
+    """Of each text with words: the keys of its bands, and sixteen bits of each register."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in common.steps(batches, "text"):
             w = words(step.column("text"))
             some = np.flatnonzero(w.counts())
-            held = signatures(*shingles(w), w.n_texts, bands * rows)[some].reshape(len(some), bands, rows)
+            held = signatures(*shingles(w), w.n_texts, bands * rows)[some]
             band = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN, (len(some), bands)).copy()
             for r in range(rows):
-                band = mixed(band ^ held[:, :, r])
-            ids = step.column("doc_id").take(pa.array(np.repeat(some, bands)))
-            yield pa.RecordBatch.from_arrays([pa.array(band.ravel().view(np.int64)), ids], ["band", "doc_id"])
+                band = mixed(band ^ held[:, r::rows])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, bands, dtype=np.int32)), pa.array(band.ravel().view(np.int64)))
+            short = [x.tobytes() for x in mixed(held).astype("<u2")]
+            yield pa.RecordBatch.from_arrays([step.column("doc_id").take(pa.array(some)), keys, pa.array(short, pa.binary())], ["doc_id", "bands", "registers"])
 
     return run
 
@@ -104,6 +112,53 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / ((xs[-1] - xs[below]) / x[both] + ys[below] / y[both])).sum())
 
 
+def _by_steps(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of a group's texts, made a few texts at a time."""
+    parts, done = [], 0
+    for step in common.steps(iter(group.select(["text"]).to_batches()), "text"):
+        text, key, weight = shingles(words(step.column("text")))
+        parts.append((text + done, key, weight))
+        done += step.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _similar_across(least: int, similarity: float):
+    """Of the texts of two blocks (or one): similar pairs of different components.
+
+    Pairs whose registers agree in fewer than `least` places are passed over; the others are compared exactly.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, component, own = (group.column(name).to_numpy() for name in ("doc_id", "component", "own"))
+        left, right = (np.flatnonzero(own == group.column(side)[0].as_py()) for side in ("lo", "hi"))
+        registers = np.array([np.frombuffer(x, "<u2") for x in group.column("registers").to_pylist()])
+        text, key, weight = _by_steps(group)
+        at = np.searchsorted(text, np.arange(len(ids) + 1))
+        sizes, plain = np.diff(at), np.maximum.reduceat(weight, at[:-1]) == 1
+        a, b, found = [], [], []
+        for i in left:
+            j = right[component[right] != component[i]]
+            j = j[(registers[j] == registers[i]).sum(1) >= least]
+            if not len(j):
+                continue
+            mine = key[at[i] : at[i + 1]]
+            begin = np.cumsum(sizes[j]) - sizes[j]
+            theirs = key[np.arange(sizes[j].sum()) + np.repeat(at[j] - begin, sizes[j])]
+            common_keys = np.add.reduceat((mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs).astype(np.int64), begin)
+            value = common_keys / (sizes[i] + sizes[j] - common_keys)
+            for k in np.flatnonzero(~(plain[j] & plain[i])):
+                value[k] = probability_jaccard(*((key[at[x] : at[x + 1]], weight[at[x] : at[x + 1]]) for x in (i, j[k])))
+            j, value = j[value >= similarity], value[value >= similarity]
+            a.append(np.minimum(ids[i], ids[j]))
+            b.append(np.maximum(ids[i], ids[j]))
+            found.append(value)
+        join = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)]).astype(kind)
+        return pa.table({"a": join(a, np.int64), "b": join(b, np.int64), "similarity": join(found, np.float64)})
+
+    return run
+
+
 def _compared(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in common.steps(batches, "text_a", common.STEP_BYTES // 2):
@@ -139,24 +194,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     copies = common.written(digests.where("n_words > 0 and doc_id is not null").join(firsts, ["h1", "h2"]).where("doc_id > first").select("doc_id", "first").distinct(), "copies")
     originals = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti")
 
-    banded = common.written(originals.mapInArrow(_bands(bands, rows), "band long, doc_id long"), "bands")
-    hubs = banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last")
+    registers = common.written(originals.mapInArrow(_registers(bands, rows), "doc_id long, bands array<long>, registers binary"), "registers")
+    banded = registers.select("doc_id", F.explode("bands").alias("band"))
+    sizes = common.written(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    members = common.written(banded.join(sizes, "band"), "members")
+    reach = members.groupBy("doc_id").agg(F.sum("size").alias("reach"))
+    hubs = members.join(reach, "doc_id").groupBy("band").agg(F.max_by("doc_id", F.struct("reach", -F.col("doc_id"))).alias("hub"))
     hubs = common.written(hubs, "hubs")  # so that the join below has a plain shuffle on either side, which Spark can split
-    members = common.written(banded.join(hubs, "band").select("band", "a", F.col("doc_id").alias("b")), "members")
-    pairs = common.written(members.where("a < b").select("a", "b").distinct(), "pairs")
-    texts = common.written(originals.join(members.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    stars = common.written(members.join(hubs, "band").select("hub", "doc_id").distinct(), "stars")
+    pairs = stars.where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+    texts = common.written(originals.join(stars.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
     links = common.written(_verified(pairs, texts, similarity), "links")
     found = components(links, "a", "b")
 
-    # what is left of the buckets: members of different components, compared with each other
-    known = members.join(found, members["b"] == found["node"], "left").select("band", "b", F.coalesce("component", "b").alias("component"))
-    known = common.written(known, "known")
-    split = known.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+    known = common.written(stars.join(found, stars["doc_id"] == found["node"], "left").select("hub", "doc_id", F.coalesce("component", "doc_id").alias("component")), "known")
+    split = known.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x < y").select("hub", "blocks")
     split = common.written(split, "split")
-    left = known.join(split, "band")
-    other = left.select("band", F.col("b").alias("a"), F.col("component").alias("near"))
-    rest = left.join(other, "band").where("near < component").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = common.written(_verified(rest, texts, similarity), "links")
+    left = known.join(split, "hub").join(registers.select("doc_id", "registers"), "doc_id").join(texts, "doc_id")
+    left = left.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "component", "registers", "text")
+    size = bands * rows
+    least = int(size * similarity - DEVIATIONS * (size * similarity * (1 - similarity)) ** 0.5)
+    more = left.groupBy("hub", "lo", "hi").applyInArrow(_similar_across(least, similarity), "a long, b long, similarity double").distinct()
+    more = common.written(more, "links")
     all_links = links.unionByName(more).select("a", "b").unionByName(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     classes = components(all_links, "a", "b")
 

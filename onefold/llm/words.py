@@ -16,6 +16,9 @@ import pyarrow as pa
 #: The pattern of a word, for SQL and brute-force tests.
 PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Powers that a worker keeps.
+KEPT_POWERS = 1 << 22
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -37,12 +40,15 @@ class Rolling:
         self._up = self._down = np.ones(1, np.uint64)
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) < n:
-            n = max(n, 2 * len(self._up))
-            up, down = np.full(n, self.base, np.uint64), np.full(n, self.inverse, np.uint64)
-            up[0] = down[0] = 1
-            self._up, self._down = np.cumprod(up), np.cumprod(down)
-        return self._up, self._down
+        if len(self._up) >= n:
+            return self._up, self._down
+        n = max(n, min(2 * len(self._up), KEPT_POWERS))
+        up, down = np.full(n, self.base, np.uint64), np.full(n, self.inverse, np.uint64)
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up), np.cumprod(down)
+        if n <= KEPT_POWERS:  # those for a very long text go with it
+            self._up, self._down = up, down
+        return up, down
 
     def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of values[start:end]."""
