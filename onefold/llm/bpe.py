@@ -1,7 +1,8 @@
-"""Byte-level BPE on top of the `tokenizers` library: one encoding for each distinct pre-token, kept by the worker.
+"""Byte-level BPE on top of the `tokenizers` library: one encoding for each distinct piece of text, kept by the worker.
 
-Pre-tokens are independent, so a text's ids are the ids of its pre-tokens in turn. Words repeat, so most pre-tokens
-are a dictionary look-up. Nothing is trained here: a vocabulary file is always given.
+Pre-tokens are independent, so a text's ids are the ids of its pre-tokens in turn. A single space that has no white
+space beside it begins a pre-token, so texts are first cut at such spaces, which is quick, and most of the pieces are a
+dictionary look-up; the rest are cut into pre-tokens by the pattern. Nothing is trained here: a vocabulary file is always given.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -19,15 +21,15 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from public_tokenizers import PATTERN  # noqa: E402
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers  # noqa: E402
 
-#: Distinct pre-tokens that a worker keeps, and characters of the longest one kept.
-KEPT, KEPT_CHARS = 400_000, 64
+#: Entries of each of the two generations that a worker keeps of pre-tokens and of pieces, and characters of the longest one kept.
+KEPT, KEPT_CHARS = 500_000, 48
 
-#: Code point ranges in which the two regular-expression libraries have the same letters, numbers and spaces.
-SAME_CLASSES = (
-    (0x0000, 0x0557), (0x2000, 0x208E), (0x20A0, 0x20BF), (0x2100, 0x218B), (0x2190, 0x23FF), (0x2500, 0x2B73),
-    (0x3000, 0x303F), (0x3041, 0x3096), (0x30A0, 0x30FF), (0x4E00, 0x9FEF), (0xAC00, 0xD7A3), (0xFF01, 0xFFBE),
-)
-_OTHER = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SAME_CLASSES).replace("\\", "\\\\").replace("]", "\\]") + "]")
+#: Code point ranges in which Python's regular expressions have the letters, numbers and spaces that the library has.
+#: The two know different versions of Unicode; a text with other code points goes to the library uncut.
+SAME_CLASSES = ((0x0000, 0x0557), (0x058D, 0x088E), (0x0890, 0x0C5B), (0x0C5D, 0x0CDB), (0x0CDD, 0x208E), (0x20A0, 0xA7CD), (0xAB6E, 0x107BA), (0x1E700, 0x2B739))
+_OTHER = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SAME_CLASSES) + "]")
+
+_WIDE_SPACE = re.compile(r" \s")
 
 
 def byte_chars() -> dict[int, str]:
@@ -62,46 +64,67 @@ def from_ranks(ranks: dict[bytes, int]) -> Tokenizer:
     return made
 
 
+class Kept(dict):
+    """What was made of a text, for the texts that came up lately: those of the last KEPT that were new, and of the KEPT before them."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        if (found := self.older.get(text)) is None:
+            found = self.make(text)
+        if len(text) <= KEPT_CHARS:
+            if len(self) >= KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[text] = found
+        return found
+
+
 class WordBPE:
-    """Encodes and decodes whole texts. `whole` sends texts with rare code points to the library uncut.
+    """Encodes and decodes whole texts.
 
     The ids of a text are little-endian integers of `dtype` in a bytes object, as they are stored.
     """
 
     def __init__(self, path: str):
-        self.whole = path.endswith(".json")
-        self.tokenizer = Tokenizer.from_file(path) if self.whole else from_ranks(read_ranks(path))
+        self.tokenizer = Tokenizer.from_file(path) if path.endswith(".json") else from_ranks(read_ranks(path))
         self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.split = regex.compile(PATTERN).findall
-        self.words: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.words, self.pieces = Kept(self._word), Kept(self._piece)
+        self.chars = {b: c for b, c in byte_chars().items()}
         back = {c: b for b, c in byte_chars().items()}
         self.bytes_of = [b""] * size
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        return {word: np.array(found.ids, self.dtype).tobytes() for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token, given to the library's model as its bytes' characters."""
+        tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.chars))
+        return array(self.code, [token.id for token in tokens]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a space and `piece`."""
+        return self._cut(" " + piece)
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split(text)))
+
+    def encode_one(self, text: str) -> bytes:
+        if not text.isascii() and _OTHER.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        if _WIDE_SPACE.search(text):
+            return self._cut(text)
+        head, *rest = text.split(" ")
+        return self._cut(head) + b"".join(map(self.pieces.__getitem__, rest))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without special tokens."""
-        uncut = {i for i, text in enumerate(texts) if self.whole and not text.isascii() and _OTHER.search(text)}
-        cut = [[] if i in uncut else self.split(text) for i, text in enumerate(texts)]
-        if len(self.words) > KEPT:
-            self.words.clear()
-        seen = self.words
-        new = list({word for words in cut for word in words if word not in seen})
-        made = self._learn(new)
-        long = {word: ids for word, ids in made.items() if len(word) > KEPT_CHARS}
-        seen.update(made)
-        out = [b"".join(map(seen.__getitem__, words)) for words in cut]
-        for word in long:
-            del seen[word]
-        for i in uncut:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
-        return out
+        return list(map(self.encode_one, texts))
 
     def ids(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, self.dtype)
