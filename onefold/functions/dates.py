@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from onefold.functions.text import trimmed
+from onefold.functions.text import table, trimmed
 
 #: The names of months.
 MONTHS = {
@@ -18,7 +18,7 @@ def date(c: Column) -> Column:
     """A date's year and month, or its year; null for open ends (present, now) and for what is no date of 1900 to 2100."""
     s = F.lower(trimmed(c))
     part = lambda pattern, group: F.regexp_extract(s, pattern, group)
-    numbers = F.create_map(*[F.lit(x) for name, n in MONTHS.items() for x in (name, n)])
+    numbers = table(MONTHS, "int")
     named = lambda name: F.try_element_at(numbers, name)
     forms = (  # pattern, group of the year, group of the month, whether it is a name
         (r"^([0-9]{4})[-/.]([0-9]{1,2})(?:[-/.][0-9]{1,2})?$", 1, 2, False),

@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from onefold.functions.text import clean, trimmed
+from onefold.functions.text import clean, table, trimmed
 
 #: Informal names and names in their own languages.
 ALIASES = {
@@ -39,8 +39,7 @@ def _codes() -> tuple[tuple[str, str], ...]:
 
 
 def country(c: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in _codes() for x in pair])
-    return F.try_element_at(names, F.lower(trimmed(c)))
+    return F.try_element_at(table(dict(_codes())), F.lower(trimmed(c)))
 
 
 def place(c: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from onefold.functions.text import trimmed
+from onefold.functions.text import table, trimmed
 
 #: Names of skills and other ways to write them.
 SKILLS = {
@@ -109,7 +109,7 @@ def _nearest(unknown: pd.Series) -> pd.Series:
 
 def known(c: Column) -> Column:
     """The name that a skill is an alias of, or null."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair]), F.lower(trimmed(c)))
+    return F.try_element_at(table(ALIASES), F.lower(trimmed(c)))
 
 
 def skills(c: Column, fuzzy: bool = True) -> Column:

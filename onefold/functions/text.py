@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def table(values: dict, kind: str = "string") -> Column:
+    """A constant map, which the optimizer folds into one literal however many entries it has."""
+    return F.from_json(F.lit(json.dumps(values)), f"map<string,{kind}>")
+
+
 def trimmed(c: Column) -> Column:
     """Without white space at either end, that of Unicode too."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

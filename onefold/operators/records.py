@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from onefold.functions import contact, dates, places, skills
-from onefold.functions.text import clean, rounded
+from onefold.functions.text import clean, rounded, table
 from onefold.model import FIELD_SOURCE_WEIGHT, METHOD_CERTAINTY, PRIORITY, SOURCE_WEIGHT, UNKNOWN_METHOD, UNKNOWN_SOURCE
 from onefold.operators.components import components
 from onefold.scratch import written
 
 
 def _mapped(values: dict[str, float], key: Column, default: float) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key), F.lit(default))
+    return F.coalesce(F.try_element_at(table(values, "double"), key), F.lit(float(default)))
 
 
 def priority(source: Column) -> Column:
