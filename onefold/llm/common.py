@@ -14,15 +14,22 @@ from onefold.scratch import written
 __all__ = ["STEP_BYTES", "steps", "table", "text_of", "written"]
 
 #: Text bytes that one step of a Python worker holds at a time; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between the JVM and Python, about; by default a batch may hold ten thousand texts, however long.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
-    """A text column as a string, null as the empty text."""
+    """A text column as a string, null as the empty text. Texts then go to Python in batches of BATCH_BYTES, unless the session says otherwise."""
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 

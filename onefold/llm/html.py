@@ -18,7 +18,6 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from onefold.llm import common
 
@@ -214,5 +213,5 @@ def extract(pages: DataFrame) -> DataFrame:
     rows are read each by itself; other columns are ignored, whatever their names. A tag that the page's end cuts off
     is no text. An empty table gives no rows.
     """
-    columns = [pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html")]
+    columns = [pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), common.text_of(pages, "html").alias("html")]
     return pages.select(*columns).mapInArrow(_extracted, RESULT)

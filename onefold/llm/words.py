@@ -16,8 +16,8 @@ import pyarrow as pa
 #: The pattern of a word, for SQL and brute-force tests.
 PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Powers that a worker keeps.
-KEPT_POWERS = 1 << 22
+#: Powers that a worker makes at first, and keeps at most, for each seed.
+FIRST_POWERS, KEPT_POWERS = (1 << 19) + 1, 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -42,7 +42,7 @@ class Rolling:
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) >= n:
             return self._up, self._down
-        n = max(n, min(2 * len(self._up), KEPT_POWERS))
+        n = max(n, FIRST_POWERS)
         up, down = np.full(n, self.base, np.uint64), np.full(n, self.inverse, np.uint64)
         up[0] = down[0] = 1
         up, down = np.cumprod(up), np.cumprod(down)
