@@ -17,9 +17,10 @@ from onefold.scratch import written
 def _stars(links: DataFrame) -> DataFrame:
     """One large and one small star over links (hi, lo) with hi > lo."""
     both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-    near = large.groupBy("hi").agg(F.min("lo").alias("m"))
+    # written, so that the joins below have a plain shuffle on either side, whose large partitions Spark can split
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+    near = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "near")
     hung = large.join(near, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return hung.unionByName(near.select("hi", F.col("m").alias("lo"))).distinct()
 
