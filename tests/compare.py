@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def rows(frame: pd.DataFrame) -> list:
     frame = frame[sorted(frame.columns)].astype(object)
     one = lambda v: "~" if not isinstance(v, (list, dict)) and pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
-    return sorted(tuple(map(one, row)) for row in frame.to_numpy().tolist())
+    return sorted((tuple(map(one, row)) for row in frame.to_numpy().tolist()), key=lambda row: tuple(map(str, row)))
 
 
 def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
