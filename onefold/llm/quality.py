@@ -188,12 +188,13 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **param
     """The rules for `docs` (doc_id, text) whose `labels` (doc_id, quality) say 0 or 1.
 
     At most `sample` labels are taken, those with the least hash of their doc_id: that bounds what is broadcast to find
-    their texts, and the statistics that come to the driver. Labels that are null, or neither 0 nor 1, teach nothing.
+    their texts, and the statistics that come to the driver. Labels that are null, or neither 0 nor 1, teach nothing, nor
+    do texts that fail the base, which no rule needs to reject.
     """
     marked = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     taken = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(sample)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).join(F.broadcast(taken), "doc_id")
-    rows = with_statistics(texts).select("turn", "doc_id", "quality", *[F.expr(sql).cast("double").alias(name) for name, sql in FEATURES.items()]).toPandas()
+    rows = with_statistics(texts).where(f"NOT ({BASE_FAILED})").select("turn", "doc_id", "quality", *[F.expr(sql).cast("double").alias(name) for name, sql in FEATURES.items()]).toPandas()
     rows = rows.sort_values(["turn", "doc_id", *FEATURES], ignore_index=True)
     return learn(rows, rows["quality"].to_numpy() == 0, **parameters)
 

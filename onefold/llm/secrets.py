@@ -1,6 +1,6 @@
 """Secrets in texts: fixed patterns, and sliding-window Shannon entropy for each character class. DataFrame functions only.
 
-Candidate strings are the longest runs of a class's characters. A window of fixed width slides over each candidate;
+Candidate strings are the longest runs of base64's characters; one of hexadecimal digits alone is of that class. A window of fixed width slides over each candidate;
 its counts change by the character that enters and the one that leaves, and with them the sum of c * log2(c), from which
 the entropy is log2(width) - sum / width. The sum is kept in whole numbers of 2**-20, so it does not drift. Windows of
 enough entropy that touch are one span. Candidates that match the allow list give none.
@@ -27,7 +27,7 @@ WIDTH, SCALE = 20, 1 << 20
 
 @dataclass(frozen=True)
 class CharacterClass:
-    """Characters of candidates (also as a set in a pattern), and the bits a character that a window must have."""
+    """Its characters, a pattern that tells its candidates from others, and the bits a character that a window must have."""
 
     name: str
     characters: str
@@ -40,12 +40,13 @@ class CharacterClass:
         return math.floor(WIDTH * (math.log2(WIDTH) - self.bits) * SCALE)
 
 
+CANDIDATE = "A-Za-z0-9+/_-"
 CLASSES = (
-    CharacterClass("entropy_hex", "0123456789ABCDEFabcdef", "0-9A-Fa-f", 3.0),
-    CharacterClass("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", "A-Za-z0-9+/=_-", 3.8),
+    CharacterClass("entropy_hex", "0123456789ABCDEFabcdef", "^[0-9A-Fa-f]+$", 3.0),
+    CharacterClass("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "[^0-9A-Fa-f]", 3.8),
 )
 #: Candidates that are no secrets: without digits (words, paths), of digits alone (numbers), UUIDs, and examples.
-ALLOWED = (r"^[^0-9]*$", r"^[0-9+/=_-]*$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i:example|sample|dummy|placeholder)")
+ALLOWED = (r"^[^0-9]*$", r"^[0-9+/_-]*$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i:example|sample|dummy|placeholder)")
 
 KINDS = ("assign", "access", "hex", *(c.name for c in CLASSES))
 _SPAN = "struct<start:int,kind:int,end:int,text:string>"
@@ -97,11 +98,13 @@ def _windows(candidate: Column, kind: int, of: CharacterClass) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["spans"])
 
 
-def _entropy(text: Column, kind: int, of: CharacterClass) -> Column:
-    run = f"(?<![{of.pattern}])[{of.pattern}]{{{WIDTH},}}"
+def _entropy(text: Column) -> Column:
+    run = f"(?<![{CANDIDATE}])[{CANDIDATE}]{{{WIDTH},}}"
     fine = lambda x: ~F.greatest(*[x["text"].rlike(allowed) for allowed in ALLOWED])
-    candidates = F.filter(_matches(text, run, kind, 0, WIDTH), fine)
-    return F.when(text.rlike(run), F.flatten(F.transform(candidates, lambda x: _windows(x, kind, of)))).otherwise(_none())
+    candidates = F.filter(_matches(text, run, 0, 0, WIDTH), fine)
+    of_class = lambda of: F.filter(candidates, lambda x: x["text"].rlike(of.pattern))
+    found = F.flatten(F.concat(*[F.transform(of_class(of), lambda x: _windows(x, 3 + i, of)) for i, of in enumerate(CLASSES)]))  # noqa: B023
+    return F.when(text.rlike(run), found).otherwise(_none())
 
 
 def _spans(text: Column) -> tuple[Column, Column]:
@@ -110,7 +113,7 @@ def _spans(text: Column) -> tuple[Column, Column]:
     access = F.when(text.contains("AKIA"), _matches(text, ACCESS, 1, 0, ACCESS_LEAST)).otherwise(_none())
     # a longest run of 16 or more is the match of the pattern, as such runs don't overlap
     digits = F.when(text.rlike(f"[0-9a-f]{{{HEX_LEAST}}}"), _matches(text, f"(?<![0-9a-f])[0-9a-f]{{{HEX_LEAST},}}", 2, 0, HEX_LEAST)).otherwise(_none())
-    return F.concat(assign, access, digits), F.concat(*[_entropy(text, 3 + i, of) for i, of in enumerate(CLASSES)])
+    return F.concat(assign, access, digits), _entropy(text)
 
 
 def _listed(spans: Column) -> Column:
@@ -181,7 +184,7 @@ def sql() -> str:
         allowed = " OR ".join(f"regexp_matches(found, {quote(a)})" for a in ALLOWED)
         total = f"list_sum([({table})[{WIDTH} - length(replace(w, x, ''))] for x in list_distinct(string_split(w, ''))])"
         classes.append(
-            f"""c{i} AS ({spans(of.name, 3 + i, quote(f"[{of.pattern}]{{{WIDTH},}}"), "TRUE", 0)}),
+            f"""c{i} AS ({spans(of.name, 3 + i, quote(f"[{CANDIDATE}]{{{WIDTH},}}"), f"regexp_matches(m[i], {quote(of.pattern)})", 0)}),
      w{i} AS (SELECT doc_id, kind, o, s, s + b AS ws, row_number() OVER (PARTITION BY doc_id, s ORDER BY b) AS r, b FROM
               (SELECT *, substr(found, b + 1, {WIDTH}) AS w FROM (SELECT *, unnest(range(0, length(found) - {WIDTH - 1})) AS b FROM c{i} WHERE NOT ({allowed}))) WHERE {total} <= {of.most}),
      j{i} AS (SELECT *, CASE WHEN ws - lag(ws) OVER (PARTITION BY doc_id, s ORDER BY b) <= {WIDTH} THEN 0 ELSE 1 END AS fresh FROM w{i}),
