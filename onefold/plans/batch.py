@@ -73,3 +73,17 @@ def run(spark: SparkSession, folder: str, config: dict | None = None, **options)
     found = written(people(records, **options), "people")
     profiles, errors = projection.parted(projection.projected(found.orderBy("cluster_id"), config))
     return {"profiles": profiles, "errors": errors, "people": found, "trust": trust.rollup(found)}
+
+
+def report(people: DataFrame) -> DataFrame:
+    """The trust report of each person, with the explanation of every field that has one."""
+    told = [f for f in ("full_name", "headline", "years_experience", "emails", "phones")]
+    explain = F.struct(*[F.when(F.col(f"reason_{f}").isNotNull(), F.struct(F.col(f).alias("chosen"), F.col(f"c_{f}").alias("confidence"), F.col(f"considered_{f}").alias("considered"), F.col(f"reason_{f}").alias("reason"))).alias(f) for f in told])
+    return people.select("candidate_id", "overall_confidence", "completeness", "conflicts", "low_confidence_fields", "anomalies", "flags", "needs_review", "review_reasons", explain.alias("explain"))
+
+
+def save(found: dict[str, DataFrame], folder: str) -> None:
+    """Writes what `run` gives as JSON lines, nulls too: profiles, errors, report and trust, a folder each."""
+    for name, rows in (found | {"report": report(found["people"])}).items():
+        if name != "people":
+            rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")

@@ -150,3 +150,16 @@ def test_console_cards(example):
     card = cards["jane.doe@example.com", "full_name"]
     assert (card.display, card.band, card.sources) == ("Jane A. Doe", "mid", ["ats_json", "recruiter_csv", "recruiter_notes", "resume"])
     assert console.inbox(example["people"]).agg(F.count("*")).first()[0] == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from onefold.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    config = tmp_path / "strict.json"
+    config.write_text(json.dumps({"fields": [{"path": "full_name", "required": True}, {"path": "primary_email", "from": "emails[0]"}], "on_missing": "error"}))
+    assert main(["--inputs", gold.write(tmp_path / "in"), "--out", str(tmp_path / "out"), "--config", str(config)]) == 0
+    assert "sam-lee: missing value" in capsys.readouterr().err
+    assert sorted(r.primary_email for r in spark.read.json(f"{tmp_path}/out/profiles").collect()) == ["carlos.reyes@example.com", "jane.doe@example.com"]
+    reports = {r.candidate_id: r for r in spark.read.json(f"{tmp_path}/out/report").collect()}
+    assert reports["jane.doe@example.com"].explain.full_name.reason == "chosen from ats_json (base 0.9) over 1 differing value(s); sources conflicted -> confidence penalized"
