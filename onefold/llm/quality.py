@@ -145,18 +145,23 @@ def _grow(features: pd.DataFrame, bad: np.ndarray, cuts: dict[str, np.ndarray],
                         best, gain = Threshold(feature, least, float(value)), found
         if best is None:
             break
-        rule, inside = (*rule, best), inside & best.covers(features)
+        rule = (*(x for x in rule if (x.feature, x.least) != (best.feature, best.least)), best)  # the new one is the narrower
+        inside &= best.covers(features)
     return rule
 
 
-def learn(features: pd.DataFrame, bad: np.ndarray, precision: float = 0.95, support: int = 3, rules: int = 12, conditions: int = 4, cuts: int = 48) -> list[Rule]:
-    """An ordered list of rules for bad texts. Rows are split by their place: every third prunes. No rows, or one kind only: no rules."""
+def learn(features: pd.DataFrame, bad: np.ndarray, precision: float = 0.95, sure: float = 0.93, rules: int = 12, conditions: int = 4, cuts: int = 48) -> list[Rule]:
+    """An ordered list of rules for bad texts. Rows are split by their place: every third prunes. No rows, or one kind only: no rules.
+
+    A rule must be right in `precision` of what it covers, also among what pruned it, and cover enough for its estimate
+    after Laplace, (right + 1) / (covered + 2), to reach `sure`: clean texts are not to pay for chance.
+    """
     found: list[Rule] = []
     bad = np.asarray(bad, bool)
     left = np.ones(len(bad), bool)
     prunes = np.arange(len(bad)) % 3 == 2
     quantiles = {name: np.unique(np.quantile(features[name], np.linspace(0, 1, cuts))) for name in FEATURES} if len(bad) else {}
-    while len(found) < rules and bad[left & ~prunes].sum() >= support:
+    while len(found) < rules and bad[left & ~prunes].any():
         grow, prune = left & ~prunes, left & prunes
         rule = _grow(features[grow], bad[grow], quantiles, conditions)
 
@@ -168,7 +173,7 @@ def learn(features: pd.DataFrame, bad: np.ndarray, precision: float = 0.95, supp
         rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth, default=())
         inside = _covers(rule, features)
         own = [bad[part & inside] for part in (left, prune)]
-        if not rule or own[0].sum() < support or any(len(x) and x.mean() < precision for x in own):
+        if not rule or not len(own[1]) or (own[0].sum() + 1) / (len(own[0]) + 2) < sure or any(x.mean() < precision for x in own):
             break
         found.append(rule)
         left &= ~inside
