@@ -25,6 +25,12 @@ def _stars(links: DataFrame) -> DataFrame:
     return hung.unionByName(near.select("hi", F.col("m").alias("lo"))).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node hangs on one other, which itself hangs on none."""
+    found = links.agg(F.count("*").alias("links"), F.countDistinct("hi").alias("nodes")).first()
+    return found.links == found.nodes and links.join(links.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty()
+
+
 def components(links: DataFrame, left: str, right: str, rounds: int = 60) -> DataFrame:
     """(node, component) for every node that `links` joins to another; component is its least reachable node.
 
@@ -33,12 +39,11 @@ def components(links: DataFrame, left: str, right: str, rounds: int = 60) -> Dat
     """
     a, b = links[left], links[right]
     links = links.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi is not null and lo is not null").distinct()
-    links, seen = written(links, "links"), None
+    links = written(links, "links")
     for _ in range(rounds):
-        found = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if found == seen or not found[0]:
+        if _settled(links):
             break
-        links, seen = written(_stars(links), "links"), found
+        links = written(_stars(links), "links")
     else:
         raise RuntimeError(f"no components after {rounds} rounds")
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
