@@ -1,5 +1,6 @@
 """The bundled example: three people in four kinds of sources, as text written out by the tests."""
 
+#: The texts of the example's sources, which its numbers depend on.
 ATS = """{"candidates": [
  {"applicant_name": "Jane A. Doe", "contact": {"email_address": "jane.doe@example.com", "mobile": "(415) 555-0132"}, "job_title": "Staff Engineer",
   "city": "San Francisco", "state": "CA", "country": "USA", "tags": ["Python", "reactjs", "Kubernetes", "graphql"], "experience_years": 8, "github": "octocat",
