@@ -32,6 +32,15 @@ _OTHER = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SAME_CLASSES
 _WIDE_SPACE = re.compile(r" \s")
 
 
+def _rare(text: str) -> bool:
+    """Whether a text has code points outside of SAME_CLASSES; most have none over U+00FF, which is seen at once."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_OTHER.search(text))
+    return False
+
+
 def byte_chars() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -115,7 +124,7 @@ class WordBPE:
         return b"".join(map(self.words.__getitem__, self.split(text)))
 
     def encode_one(self, text: str) -> bytes:
-        if not text.isascii() and _OTHER.search(text):
+        if _rare(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if _WIDE_SPACE.search(text):
             return self._cut(text)
