@@ -7,7 +7,6 @@ that a rule covers are taken out and the next rule is learned. The list becomes
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -130,19 +129,34 @@ def _covers(rule: Rule, features: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _grow(features: pd.DataFrame, bad: np.ndarray, cuts: dict[str, np.ndarray], most: int) -> Rule:
+def _best(x: np.ndarray, bad: np.ndarray) -> tuple[float, bool, float]:
+    """The gain of the best threshold between two neighbouring values of `x`, whether it is a least one, and its value."""
+    order = np.argsort(x, kind="stable")
+    x, right = x[order], np.cumsum(bad[order])
+    at = np.flatnonzero(x[1:] > x[:-1])
+    if not len(at):
+        return 0.0, True, 0.0
+    before = np.log2(right[-1] / len(x))
+    gains = []
+    for q, n in ((right[-1] - right[at], len(x) - at - 1), (right[at], at + 1)):
+        gains.append(q * (np.log2(np.maximum(q, 1) / n) - before))
+    least = gains[0].max() >= gains[1].max()
+    i = at[int(gains[0 if least else 1].argmax())]
+    low, high = float(x[i]), float(x[i + 1])
+    middle = low + (high - low) / 2
+    return float(gains[0 if least else 1].max()), bool(least), middle if low < middle < high else high if least else low
+
+
+def _grow(features: pd.DataFrame, bad: np.ndarray, most: int) -> Rule:
+    """Thresholds are tried between all neighbouring values of the rows that the rule still covers."""
     rule: Rule = ()
     inside = np.ones(len(bad), bool)
     while len(rule) < most and (p := int(bad[inside].sum())) and p < inside.sum():
-        before, best, gain = math.log2(p / inside.sum()), None, 1e-9
-        for feature, values in cuts.items():
-            x = features[feature].to_numpy()
-            for least in (True, False):
-                for value in values:
-                    now = inside & (x >= value if least else x <= value)
-                    q, n = int(bad[now].sum()), int(now.sum())
-                    if q and (found := q * (math.log2(q / n) - before)) > gain:
-                        best, gain = Threshold(feature, least, float(value)), found
+        best, gain = None, 1e-9
+        for feature in FEATURES:
+            found, least, value = _best(features[feature].to_numpy()[inside], bad[inside])
+            if found > gain:
+                best, gain = Threshold(feature, least, value), found
         if best is None:
             break
         rule = (*(x for x in rule if (x.feature, x.least) != (best.feature, best.least)), best)  # the new one is the narrower
@@ -150,7 +164,7 @@ def _grow(features: pd.DataFrame, bad: np.ndarray, cuts: dict[str, np.ndarray],
     return rule
 
 
-def learn(features: pd.DataFrame, bad: np.ndarray, precision: float = 0.95, sure: float = 0.93, rules: int = 12, conditions: int = 4, cuts: int = 48) -> list[Rule]:
+def learn(features: pd.DataFrame, bad: np.ndarray, precision: float = 0.95, sure: float = 0.93, rules: int = 12, conditions: int = 4) -> list[Rule]:
     """An ordered list of rules for bad texts. Rows are split by their place: every third prunes. No rows, or one kind only: no rules.
 
     A rule must be right in `precision` of what it covers, also among what pruned it, and cover enough for its estimate
@@ -160,10 +174,9 @@ def learn(features: pd.DataFrame, bad: np.ndarray, precision: float = 0.95, sure
     bad = np.asarray(bad, bool)
     left = np.ones(len(bad), bool)
     prunes = np.arange(len(bad)) % 3 == 2
-    quantiles = {name: np.unique(np.quantile(features[name], np.linspace(0, 1, cuts))) for name in FEATURES} if len(bad) else {}
     while len(found) < rules and bad[left & ~prunes].any():
         grow, prune = left & ~prunes, left & prunes
-        rule = _grow(features[grow], bad[grow], quantiles, conditions)
+        rule = _grow(features[grow], bad[grow], conditions)
 
         def worth(r: Rule) -> float:
             inside = _covers(r, features[prune])  # noqa: B023

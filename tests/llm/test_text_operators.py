@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -185,6 +186,18 @@ def test_rules_generalize(spark):
     assert good.kept.mean() > 0.98 and found[found.quality == 0].kept.mean() < 0.5
 
 
+def test_a_rare_kind_is_cut_off_where_it_begins(spark):
+    random.seed(9)
+    features = pd.DataFrame([{name: random.random() for name in quality.FEATURES} for _ in range(5000)])
+    bad = np.arange(5000) % 100 < 2
+    features["symbols_per_word"] = np.where(bad, 0.3 + features.symbols_per_word, 0.0)
+    fired = sum((quality._covers(r, features) for r in quality.learn(features, bad)), start=bad & False)
+    assert (fired & bad).sum() > 0.98 * bad.sum() and not (fired & ~bad).any()
+    docs, labels = (queries.table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))
+    found = quality.judge(docs, labels).join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id").where("not base_failed").toPandas()
+    assert found[(found.quality == 0) & (found.n_symbols > 0)].kept.sum() == 0 and found[found.quality == 1].kept.all()
+
+
 def test_substrings(docs, given, none):
     windows, want = {}, []
     found = [(i, WORD.findall(t or "")) for i, t in given]
