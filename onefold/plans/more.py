@@ -58,6 +58,21 @@ def grounding_verify(spark, sf_dir):
     return docs.select("doc_id", proposals.grounded(F.col("source"), F.col("text")).alias("source_there"), proposals.grounded(F.col("word"), F.col("text")).alias("word_there"))
 
 
+def _folded(sql):
+    return f"lower(trim(regexp_replace({sql}, '{proposals.WHITE}+', ' ', 'g')))"
+
+
+_VALUES = {"source": "source", "word": "substr(text, 5, 12)", "other": "'not said ' || doc_id"}
+
+
+@query("SELECT doc_id, " + ", ".join(f"coalesce({v} <> '' AND contains(t, {v}), false) AS {v}_there" for v in _VALUES) + f" FROM (SELECT doc_id, {_folded('text')} AS t, " + ", ".join(f"{_folded(sql)} AS {v}" for v, sql in _VALUES.items()) + " FROM documents)", chain=False)
+def grounding_every_document(spark, sf_dir):
+    """A row for every document, whatever its text begins with (null text: nothing is there), and a value that no text has."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    values = {"source": F.col("source"), "word": F.substring("text", 5, 12), "other": F.concat(F.lit("not said "), F.col("doc_id").cast("string"))}
+    return docs.select("doc_id", *[proposals.grounded(value, F.col("text")).alias(f"{name}_there") for name, value in values.items()])
+
+
 @query("WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, event_type) AS turn FROM events), f AS (SELECT user_id, event_type, min(turn) AS turn FROM r WHERE turn <= 100 GROUP BY ALL) SELECT 'user' || user_id AS handle, 'User ' || user_id AS full_name, string_agg(event_type, ',' ORDER BY turn) AS skills FROM f GROUP BY user_id", chain=False)
 def enrichment_lookup(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("handle"), F.col("event_type").alias("language"), F.col("event_id").alias("at"), "user_id")

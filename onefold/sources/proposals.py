@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onefold.functions.text import trimmed
 from onefold.sources.common import record
 
+#: White space, spelled out so that every engine takes the same characters for it.
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 
 def folded(c: Column) -> Column:
-    return F.lower(trimmed(F.regexp_replace(c, r"(?U)\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(c, WHITE + "+", " ")))
 
 
 def grounded(value: Column, text: Column) -> Column:

@@ -23,6 +23,13 @@ def test_without_sql(spark, small, name):
     assert queries.queries()[name](spark, small).count() > 0
 
 
+def test_every_document_is_judged(spark, tmp_path):
+    texts = ["Das \u00e9l\u00e8ve  a dit\nweb", "abcd  \u3000\x1f", "", None, "1234 \u00a0two\u2003Words not said 4"]
+    spark.createDataFrame([(i, t, "web") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.queries()["grounding_every_document"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in found] == [(0, True, True, False), (1, False, False, False), (2, False, False, False), (3, False, False, False), (4, False, True, True)]
+
+
 def test_entry(spark):
     import __spark_entry__
 
