@@ -123,7 +123,8 @@ def ingest(state: State, batch: DataFrame, origin: str | None = None) -> State:
     hubs = nodes.groupBy("key_type", "key_value").agg(F.min("node").alias("hub"))
     blocks = components(nodes.join(hubs, ["key_type", "key_value"]).select("node", "hub"), "node", "hub")
     blocked = nodes.join(blocks, "node", "left").withColumn("block", F.coalesce("component", "node"))
-    tokens = blocked.select("block", "ord", "candidate_id", "key_type", "key_value").groupBy("block").applyInPandas(_linked, "ord long, token string")
+    # -1 for who is known: a null would make the ords of new records floats
+    tokens = blocked.select("block", F.coalesce("ord", F.lit(-1)).alias("ord"), "candidate_id", "key_type", "key_value").groupBy("block").applyInPandas(_linked, "ord long, token string")
     bare = fresh.join(usable.select("ord").distinct(), "ord", "left_anti").select("ord", F.concat(F.lit("\0candidate\0"), F.col("ord").cast("string")).alias("token"))
     tokens = written(tokens.unionByName(bare), "tokens")
     ids = _named(tokens, state.records.select("candidate_id").distinct())

@@ -96,7 +96,20 @@ def _state(spark, sf_dir):
     return _STATES[key]
 
 
+def _whole(spark, sf_dir):
+    """The state after the first records and, as two more batches, all others."""
+    key = (spark.sparkContext.applicationId, sf_dir, "whole")
+    if key not in _STATES:
+        rest = derived.records(spark, sf_dir).where("source not in ('ats_json', 'recruiter_notes')")
+        state = _state(spark, sf_dir)
+        for batch in (rest.where("source = 'recruiter_csv'"), rest.where("source <> 'recruiter_csv'")):
+            state = store.ingest(state, batch)
+        _STATES[key] = state
+    return _STATES[key]
+
+
 _STATES: dict = {}
+_EVERY = "SELECT source, count(*) AS n FROM (SELECT DISTINCT * EXCLUDE (ord) FROM src) GROUP BY source"
 
 
 @query("SELECT source, count(*) AS n FROM (SELECT DISTINCT * EXCLUDE (ord) FROM src WHERE source IN ('ats_json', 'recruiter_notes')) GROUP BY source")
@@ -112,9 +125,28 @@ def incremental_link(spark, sf_dir):
     return keys.groupBy("key_type", "key_value").agg(F.countDistinct("candidate_id").alias("n_people"))
 
 
+@query(_EVERY)
+def idempotent_ingest_all(spark, sf_dir):
+    again = store.ingest(_whole(spark, sf_dir), derived.records(spark, sf_dir))
+    return again.records.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query()
+def incremental_candidates(spark, sf_dir):
+    """Every record of the store, and the person that it was linked to."""
+    return _whole(spark, sf_dir).records.select("ord", "source", "candidate_id")
+
+
+@query()
+def incremental_link_all(spark, sf_dir):
+    records = _whole(spark, sf_dir).records
+    keys = store.identity_keys(store.normalized(records, fuzzy=False)).join(records.select("ord", "candidate_id"), "ord")
+    return keys.groupBy("key_type", "key_value").agg(F.countDistinct("candidate_id").alias("n_people"))
+
+
 @query()
 def incremental_people(spark, sf_dir):
-    return _state(spark, sf_dir).people.select("candidate_id", "full_name", "status", "overall_confidence")
+    return _whole(spark, sf_dir).people.select("candidate_id", "full_name", "status", "overall_confidence")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT headline) AS n_headlines, min(headline) AS headline FROM src WHERE source = 'ats_json'".replace("count(DISTINCT headline)", "1::BIGINT").replace("min(headline)", "'Chief'"))
@@ -125,25 +157,33 @@ def origin_refresh(spark, sf_dir):
     return twice.records.agg(F.count("*").alias("n"), F.countDistinct("headline").alias("n_headlines"), F.min("headline").alias("headline"))
 
 
+@query("SELECT count(*) AS n, 1::BIGINT AS n_headlines, 'Chief' AS headline FROM src")
+def origin_refresh_all(spark, sf_dir):
+    rows = derived.records(spark, sf_dir).withColumn("from", F.col("ord").cast("string"))
+    once = store.ingest(store.empty(spark), rows, "from")
+    twice = store.ingest(once, rows.withColumn("headline", F.lit("Chief")), "from")
+    return twice.records.agg(F.count("*").alias("n"), F.countDistinct("headline").alias("n_headlines"), F.min("headline").alias("headline"))
+
+
 def _some(state):
     return state.people.where("full_name is not null and candidate_id like '%1@example.com'").select("candidate_id")
 
 
 @query()
 def delete_candidate(spark, sf_dir):
-    state = _state(spark, sf_dir)
+    state = _whole(spark, sf_dir)
     return store.delete(state, _some(state)).people.select("candidate_id", "status")
 
 
 @query()
 def sticky_review(spark, sf_dir):
-    state = _state(spark, sf_dir)
+    state = _whole(spark, sf_dir)
     return store.review(state, _some(state)).people.groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query()
 def correction_wins(spark, sf_dir):
-    state = _state(spark, sf_dir)
+    state = _whole(spark, sf_dir)
     fixes = _some(state).select("candidate_id", F.lit("full_name").alias("field"), F.lit("New Name").alias("value"), F.lit(1).cast("long").alias("seq"))
     return store.correct(state, fixes).people.where("full_name = 'New Name'").select("candidate_id", "full_name", "c_full_name")
 
@@ -169,3 +209,19 @@ def stream_ingest(spark, sf_dir):
 
     ingest.start(stream, sink, scratch_path(spark, "stream")).awaitTermination()
     return sink.state.records.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(_EVERY)
+def stream_ingest_all(spark, sf_dir):
+    """All sources, in micro-batches of one file."""
+
+    def records():
+        return derived.records(spark, sf_dir).repartition(3)
+
+    path = stored(spark, sf_dir, "all_arrivals", records).inputFiles()[0].rsplit("/", 1)[0]
+    sink = ingest.Sink(store.empty(spark))
+    stream = spark.readStream.schema(records().schema).option("maxFilesPerTrigger", 1).parquet(path)
+    from onefold.scratch import scratch_path
+
+    ingest.start(stream, sink, scratch_path(spark, "stream")).awaitTermination()
+    return sink.state.records.groupBy("source").agg(F.count("*").alias("n"))

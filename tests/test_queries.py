@@ -8,7 +8,7 @@ import sys
 import pytest
 from compare import same
 
-from onefold.plans import more, queries  # noqa: F401
+from onefold.plans import derived, more, queries  # noqa: F401
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -30,6 +30,16 @@ def test_every_document_is_judged(spark, tmp_path):
     assert [tuple(r) for r in found] == [(0, True, True, False), (1, False, False, False), (2, False, False, False), (3, False, False, False), (4, False, True, True)]
 
 
+def test_every_source_enters_the_store(spark, small):
+    every = {r.ord: r.source for r in derived.records(spark, small).collect()}
+    found = queries.queries()["incremental_candidates"](spark, small).collect()
+    assert {r.source for r in found} == set(every.values()) and all(every[r.ord] == r.source for r in found)
+    first = {r.candidate_id for r in found if r.source in ("ats_json", "recruiter_notes")}
+    later = [r for r in found if r.source in ("recruiter_csv", "resume")]
+    assert 0 < sum(r.candidate_id in first for r in later) < len(later)
+    assert {r.candidate_id for r in queries.queries()["incremental_people"](spark, small).collect()} == {r.candidate_id for r in found}
+
+
 def test_entry(spark):
     import __spark_entry__
 

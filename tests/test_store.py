@@ -52,6 +52,12 @@ def test_ingest_correct_review_delete(spark, frame, some):
     assert "sam-lee" not in members(gone) and gone.people.where("candidate_id = 'sam-lee'").count() == 0 and gone.displaced.count() == 2
 
 
+def test_a_new_person_among_who_is_known(spark, frame, some):
+    state = store.ingest(store.empty(spark), some.where("ord = 1"))
+    more = frame({"ord": 5, "source": "resume", "method": "regex", "phones": ["415-555-0132"]}, {"ord": 6, "source": "recruiter_csv", "method": "field_map", "emails": ["jane@x.com"], "phones": ["415-555-0132"]})
+    assert sorted(members(store.ingest(state, more)).values()) == [1, 2]
+
+
 def test_origin_replaces_in_place(spark, some):
     rows = some.where("ord = 1").withColumn("from", some["source"])
     state = store.ingest(store.empty(spark), rows, "from")
