@@ -150,7 +150,7 @@ def overrides(corrections: DataFrame) -> DataFrame:
     return rows.select("candidate_id", F.lit("recruiter_override").alias("source"), F.lit("human").alias("method"), F.lit(1 << 62).alias("ord"), *[given.get(n, F.lit(None)).cast(k).alias(n) for n, k in FIELDS.items()])
 
 
-def resolve(state: State, only: DataFrame | None = None, fuzzy: bool = False) -> DataFrame:
+def resolve(state: State, only: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
     """Reported people, or those of `only`. A person's records are in the order of their ids, corrections last."""
     records, fixes = state.records, overrides(state.corrections)
     if only is not None:

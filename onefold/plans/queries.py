@@ -37,7 +37,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataF
 
 
 def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.normalized(derived.records(spark, sf_dir), fuzzy=False)
+    return records.normalized(derived.records(spark, sf_dir))
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,15 @@ def test_a_new_person_among_who_is_known(spark, frame, some):
     assert sorted(members(store.ingest(state, more)).values()) == [1, 2]
 
 
+def test_a_misspelled_skill_is_folded(spark, frame):
+    rows = frame(
+        {"ord": 1, "source": "ats_json", "method": "field_map", "emails": ["jane@x.com"], "skills": ["Python", "Kubernetes"]},
+        {"ord": 2, "source": "resume", "method": "regex", "emails": ["jane@x.com"], "skills": ["Pythonn", "Kubernets", "Basket weaving"]},
+    )
+    people = store.ingest(store.empty(spark), rows).people.first()
+    assert [x.name for x in people.skills] == ["Basket weaving", "Kubernetes", "Python"]
+
+
 def test_origin_replaces_in_place(spark, some):
     rows = some.where("ord = 1").withColumn("from", some["source"])
     state = store.ingest(store.empty(spark), rows, "from")
