@@ -3,7 +3,7 @@
 A line is what stands between two block tags. Its ratio is its characters by its tags; the ratios are smoothed with a
 Gaussian, and lines at or above one standard deviation of them are the content cluster. The region is the article or main
 element that holds content lines (all of them, if it has the page's only one), or else the smallest element that
-holds most of the cluster. All lines of the region are kept, however short, but those in menus, headers, footers,
+holds all of the cluster and more than one line. All lines of the region are kept, however short, but those in menus, headers, footers,
 sidebars, notices, adverts, forms and comments, which their elements' names, roles and classes tell.
 """
 
@@ -36,7 +36,7 @@ PLAIN = frozenset(("html", "body", *LANDMARKS))
 #: First parts of class names that only say what is around: has-sidebar, no-ads.
 AROUND = frozenset("has no with without is not js".split())
 
-SIGMA, RADIUS, MOST, LINKS = 1.0, 2, 0.7, 0.6
+SIGMA, RADIUS, LINKS = 1.0, 2, 0.6
 
 _CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 
@@ -177,7 +177,15 @@ def main_text(page: str) -> str:
                 weight[at] += len(x.text)
                 at = parser.parent[at]
             weight[0] += len(x.text)
-    region = max((n for n, w in weight.items() if w >= MOST * weight[0]), default=0)  # the deepest is the last to open
+    region = max((n for n, w in weight.items() if w == weight[0]), default=0)  # the deepest is the last to open
+    shown: Counter[int] = Counter()
+    for x in lines:
+        at = x.element if not x.hidden else 0
+        while at:
+            shown[at] += 1
+            at = parser.parent[at]
+    while region and shown[region] < 2:  # a block alone is no region: what stands around it may be its heading
+        region = parser.parent[region]
     held = _under(parser, lines, {region}) if region else [1] * len(lines)
     return " ".join(x.text for x, root, c in zip(lines, held, content, strict=True) if root and not x.hidden and (c or x.links <= LINKS * len(x.text)))
 

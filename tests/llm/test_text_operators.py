@@ -198,6 +198,13 @@ def test_a_rare_kind_is_cut_off_where_it_begins(spark):
     assert found[(found.quality == 0) & (found.n_symbols > 0)].kept.sum() == 0 and found[found.quality == 1].kept.all()
 
 
+def test_one_paragraph_does_not_stand_for_its_page():
+    long, short = ("word " * 180).strip(), ("next " * 16).strip()
+    assert html.main_text(f"<div><h1>Title</h1><p>{long}</p><p>{short}</p></div>") == f"Title {long} {short}"
+    assert html.main_text(f"<body><nav>menu</nav><div><h1>Title</h1><div><p>{long}</p></div></div></body>") == f"Title {long}"
+    assert html.main_text(f"<div><div><h2>One</h2><p>{long}</p></div><div><h2>Two</h2><p>{short}</p></div></div>") == f"One {long} Two {short}"
+
+
 def test_substrings(docs, given, none):
     windows, want = {}, []
     found = [(i, WORD.findall(t or "")) for i, t in given]
