@@ -205,6 +205,43 @@ def test_one_paragraph_does_not_stand_for_its_page():
     assert html.main_text(f"<div><div><h2>One</h2><p>{long}</p></div><div><h2>Two</h2><p>{short}</p></div></div>") == f"One {long} Two {short}"
 
 
+LONG, SHORT = ("word " * 180).strip(), ("next " * 16).strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article><h1>T</h1><p>{LONG}</p><section id="related-work"><h2 id="comments-on-method">M</h2><p>{SHORT}</p></section><div class="ad-hoc-analysis"><p>{SHORT}</p></div></article>', f"T {LONG} M {SHORT} {SHORT}"),
+        (f'<body><p class="notice">Notice<h1>Head</h1><p>{LONG}</p></body>', f"Head {LONG}"),  # a block ends an open p
+        (f"<body><h1>Headline</h1><div><p>{LONG}</p><p>{SHORT}</p></div></body>", f"Headline {LONG} {SHORT}"),
+        (f'<body><div class="notice"><p>{LONG}</p><p>{SHORT}</p></div></body>', f"{LONG} {SHORT}"),  # the ratios overrule a name
+        (f"<head><title>x</title><body><form><p>{LONG}</p><p>{SHORT}</p></form>", f"{LONG} {SHORT}"),
+        (f'<body><article><p>{SHORT}</p></article><div class="comments"><p>{LONG}</p></div></body>', SHORT),
+        (f'<body><div class="ad">{LONG}</div><article><p>{SHORT}</p></article></body>', SHORT),
+        (f"<body><div><a href=1>Home</a></div><div><p>{LONG}</p><p><a href=2>see this</a></p><p>{SHORT}</p></div><p><a>x</a></p></body>", f"{LONG} see this {SHORT}"),
+        (f"<body><aside><article><p>{SHORT}</p></article></aside><article><p>{LONG}</p></article>", LONG),
+        (f"<article><h2>One</h2><p>{LONG}</p></article><article><p>{SHORT}</p></article>", f"One {LONG} {SHORT}"),
+        (f"<main><article><p>{LONG}</p></article></main><article><a href=1>more</a></article>", LONG),  # ratios choose among landmarks
+        ("<div>" * 4000 + f"<p>{SHORT}", SHORT),
+    ],
+)
+def test_ratios_choose_regions(page, want):
+    assert html.main_text(page) == want
+
+
+def test_pages_as_cut_by_patterns():
+    """What stands in the article of each of the driver's pages, found by patterns alone, unclosed tags and all."""
+    import html as entities
+
+    import duckdb
+
+    blocks = "|".join(sorted(html.BLOCKS, key=len, reverse=True))
+    for (page,) in duckdb.sql("select html from '/root/testdata/sf0.1/pages.parquet'").fetchall():
+        inside = re.sub(r"<[A-Za-z/][^<>]*\Z", "", re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)[1])
+        inside = re.sub(rf"</?({blocks})(\s[^<>]*)?>|<br>|<!--.*?-->", " ", inside)
+        assert html.main_text(page) == " ".join(entities.unescape(re.sub(r"</?[A-Za-z][^<>]*>", "", inside)).split())
+
+
 def test_substrings(docs, given, none):
     windows, want = {}, []
     found = [(i, WORD.findall(t or "")) for i, t in given]
