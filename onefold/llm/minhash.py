@@ -7,9 +7,10 @@ soon as its next arrival is later than all that the registers hold.
 
 Texts with equal words are one class before anything is compared. A bucket's hub is the text whose buckets are largest, as
 is the middle of a group of copies; texts are first compared with the hubs of their buckets. Where that leaves the texts of
-a hub in more than one component, they are dealt into blocks, and two blocks at a time their registers are
-compared; pairs of different components whose registers agree often enough are then compared exactly. So pairs within a
-group are never listed, and no link that joins components is left out but by the odds below.
+a hub in more than one component, they are dealt into blocks of a bounded size, and two blocks at a time their registers are
+compared; pairs of different components whose registers agree often enough are then compared exactly, and those that are
+similar are one component from then on. So a block hands on a forest, pairs within a group are never listed, and
+no link that joins components is left out but by the odds below.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 5
 #: Pairs whose registers agree less than the similarity by so many standard deviations are not compared exactly: 5 in a million.
 DEVIATIONS = 4.4
-BLOCK = 256
+#: Bytes of the texts of a block, about.
+BLOCK = 4 << 20
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,7 +43,7 @@ def shingles(w: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np
     text, key = w.doc[first], window_hashes(w.hashes(), first, width)
     counts = w.counts()
     if len(short := np.flatnonzero((counts > 0) & (counts < width))):
-        text, key = np.concatenate([text, short]), np.concatenate([key, w.digests()[0][short]])
+        text, key = np.concatenate([text, short]), np.concatenate([key, w.digests()[short, 0].view(np.uint64)])
     order = np.lexsort((key, text))
     text, key = text[order], key[order]
     new = np.ones(len(key), bool)
@@ -70,8 +72,8 @@ def signatures(text: np.ndarray, key: np.ndarray, weight: np.ndarray, n_texts: i
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for step in common.steps(batches, "text"):
         w = words(step.column("text"))
-        one, two = w.digests()
-        yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(w.counts()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "n_words", "h1", "h2"])
+        found = w.digests()
+        yield pa.RecordBatch.from_arrays([step.column("doc_id"), step.column("k"), pa.array(w.counts()), pa.array(found[:, 0]), pa.array(found[:, 1])], ["doc_id", "k", "n_words", "h1", "h2"])
 
 
 def _registers(bands: int, rows: int):
@@ -123,20 +125,21 @@ def _by_steps(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _similar_across(least: int, similarity: float):
-    """Of the texts of two blocks (or one): similar pairs of different components.
+    """Of the texts of two blocks (or one): similar pairs that join different components, a forest of them.
 
     Pairs whose registers agree in fewer than `least` places are passed over; the others are compared exactly.
     """
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, component, own = (group.column(name).to_numpy() for name in ("doc_id", "component", "own"))
+        ids, own = (group.column(name).to_numpy() for name in ("doc_id", "own"))
+        component = np.unique(group.column("component").to_numpy(), return_inverse=True)[1]
         left, right = (np.flatnonzero(own == group.column(side)[0].as_py()) for side in ("lo", "hi"))
-        registers = np.array([np.frombuffer(x, "<u2") for x in group.column("registers").to_pylist()])
+        registers = np.frombuffer(b"".join(group.column("registers").to_pylist()), "<u2").reshape(len(ids), -1)
         text, key, weight = _by_steps(group)
         at = np.searchsorted(text, np.arange(len(ids) + 1))
         sizes, plain = np.diff(at), np.maximum.reduceat(weight, at[:-1]) == 1
-        a, b, found = [], [], []
+        found = []
         for i in left:
             j = right[component[right] != component[i]]
             j = j[(registers[j] == registers[i]).sum(1) >= least]
@@ -150,11 +153,10 @@ def _similar_across(least: int, similarity: float):
             for k in np.flatnonzero(~(plain[j] & plain[i])):
                 value[k] = probability_jaccard(*((key[at[x] : at[x + 1]], weight[at[x] : at[x + 1]]) for x in (i, j[k])))
             j, value = j[value >= similarity], value[value >= similarity]
-            a.append(np.minimum(ids[i], ids[j]))
-            b.append(np.maximum(ids[i], ids[j]))
-            found.append(value)
-        join = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)]).astype(kind)
-        return pa.table({"a": join(a, np.int64), "b": join(b, np.int64), "similarity": join(found, np.float64)})
+            joined, first = np.unique(component[j], return_index=True)
+            found += [(min(ids[i], ids[j[k]]), max(ids[i], ids[j[k]]), value[k]) for k in first]
+            component[np.isin(component, joined)] = component[i]
+        return pa.table({name: pa.array([row[c] for row in found], kind) for c, (name, kind) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())))})
 
     return run
 
@@ -181,18 +183,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, copy_of, n_words) for every row of `docs` (doc_id, text).
+    """(doc_id, class_id, copy_of, linked_to, similarity, n_words) for every row of `docs` (doc_id, text).
 
     class_id is the least doc_id that links of `similarity` or more lead to; copy_of is the least doc_id of the rows
-    with the same words. A text without words is a class of its own, as is a row with a null doc_id (its class_id is null). Rows
-    with one doc_id are one node. Other columns are ignored, whatever their names; an empty table gives no rows.
+    with the same words; linked_to and similarity are the most similar text (of least doc_id) that was compared with this one's
+    first copy, where its class has other texts. A text without words is a class of its own, as is a row with a null doc_id (its
+    class_id is null). Rows with one doc_id are one node, whatever their texts. Other columns are ignored, whatever their names; an empty
+    table gives no rows.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
-    digests = common.written(docs.mapInArrow(_digests, "doc_id long, n_words long, h1 long, h2 long"), "digests")
-    firsts = digests.where("n_words > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    docs = docs.withColumn("k", F.xxhash64("text"))  # tells apart rows with one doc_id
+    digests = common.written(docs.mapInArrow(_digests, "doc_id long, k long, n_words long, h1 long, h2 long"), "digests")
+    known = digests.where("n_words > 0 and doc_id is not null")
+    firsts = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     firsts = common.written(firsts, "firsts")
-    copies = common.written(digests.where("n_words > 0 and doc_id is not null").join(firsts, ["h1", "h2"]).where("doc_id > first").select("doc_id", "first").distinct(), "copies")
-    originals = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti")
+    copies = common.written(known.join(firsts, ["h1", "h2"]).where("doc_id > first").select("doc_id", "k", "first").distinct(), "copies")
+    originals = docs.where("doc_id is not null").join(copies, ["doc_id", "k"], "left_anti")
 
     registers = common.written(originals.mapInArrow(_registers(bands, rows), "doc_id long, bands array<long>, registers binary"), "registers")
     banded = registers.select("doc_id", F.explode("bands").alias("band"))
@@ -203,29 +209,36 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     hubs = common.written(hubs, "hubs")  # so that the join below has a plain shuffle on either side, which Spark can split
     stars = common.written(members.join(hubs, "band").select("hub", "doc_id").distinct(), "stars")
     pairs = stars.where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    texts = common.written(originals.join(stars.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    texts = common.written(originals.join(stars.select("doc_id").distinct(), "doc_id", "left_semi").drop("k"), "texts")
     links = common.written(_verified(pairs, texts, similarity), "links")
     found = components(links, "a", "b")
 
     known = common.written(stars.join(found, stars["doc_id"] == found["node"], "left").select("hub", "doc_id", F.coalesce("component", "doc_id").alias("component")), "known")
-    split = known.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x < y").select("hub", "blocks")
+    split = known.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("hub")
     split = common.written(split, "split")
     left = known.join(split, "hub").join(registers.select("doc_id", "registers"), "doc_id").join(texts, "doc_id")
-    left = left.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = common.written(left, "left")
+    blocks = left.groupBy("hub").agg(F.ceil(F.sum(F.octet_length("text")) / BLOCK).cast("int").alias("blocks"))
+    left = left.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "component", "registers", "text")
     size = bands * rows
     least = int(size * similarity - DEVIATIONS * (size * similarity * (1 - similarity)) ** 0.5)
     more = left.groupBy("hub", "lo", "hi").applyInArrow(_similar_across(least, similarity), "a long, b long, similarity double").distinct()
-    more = common.written(more, "links")
-    all_links = links.unionByName(more).select("a", "b").unionByName(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
-    classes = components(all_links, "a", "b")
+    links = links.unionByName(common.written(more, "links"))
+    classes = components(links.select("a", "b").unionByName(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))), "a", "b")
 
-    first = F.coalesce("first", "doc_id").alias("copy_of")
-    out = digests.select("doc_id", "n_words").join(copies, "doc_id", "left").select("doc_id", "n_words", first)
-    return out.join(classes, out["doc_id"] == classes["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), "copy_of", "n_words")
+    ends = links.select("a", "b", "similarity").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    best = ends.groupBy("a").agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("linked_to"), F.max("similarity").alias("similarity"))
+    out = digests.select("doc_id", "k", "n_words").join(copies, ["doc_id", "k"], "left").select("doc_id", "n_words", F.coalesce("first", "doc_id").alias("copy_of"))
+    out = out.join(best, out["copy_of"] == best["a"], "left")
+    return out.join(classes, out["doc_id"] == classes["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), "copy_of", "linked_to", "similarity", "n_words")
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of `docs` that are the least doc_id of their class, all columns as they were; rows with a null doc_id stay."""
+    """The rows of `docs` that are the least doc_id of their class, all columns as they were.
+
+    Rows with a null doc_id stay, texts without words too; of rows with one doc_id all stay or go; an empty table stays empty. No
+    column is added, so none can clash.
+    """
     gone = near_duplicates(docs, **parameters).where("doc_id > class_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onefold.llm import common
-from onefold.llm.words import rolling, window_hashes, words
+from onefold.llm.words import span_hashes, window_hashes, words
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WIDTH = 8
@@ -75,8 +75,7 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     filled = np.concatenate([[0], np.cumsum(inside, dtype=np.int64)])
     has = filled[line_end] > filled[line_start]
     line_text, line_start, line_end = line_text[has], line_start[has], line_end[has]
-    roll = rolling()
-    _, later = _repeated(line_text, roll.spans(roll.bytes[data], line_start, line_end))
+    _, later = _repeated(line_text, span_hashes(data, line_start, line_end))
 
     first = w.windows(REPEAT_WIDTH)
     twice, _ = _repeated(w.doc[first], window_hashes(w.hashes(), first, REPEAT_WIDTH))

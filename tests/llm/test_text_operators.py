@@ -252,7 +252,8 @@ def test_substrings(docs, given, none):
     for i, w in found:
         gone = {j for k in range(len(w) - 12) if i is not None and windows[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
         want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
-    assert rows(substrings.remove_repeats(docs).toPandas()) == rows(pd.DataFrame(want, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]))
+    for parameters in ({}, {"rounds": 3, "buffer": 3000}):
+        assert rows(substrings.remove_repeats(docs, **parameters).toPandas()) == rows(pd.DataFrame(want, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]))
     cut = substrings.without_repeats(docs)
     assert cut.columns == [*docs.columns, "__removed"]
     by_id = collections.Counter((None if pd.isna(r.doc_id) else int(r.doc_id), hashlib.sha256(" ".join(WORD.findall(r.text or "")).encode()).hexdigest()) for r in cut.toPandas().itertuples())
@@ -260,6 +261,34 @@ def test_substrings(docs, given, none):
     assert substrings.remove_repeats(none).count() == 0 and substrings.without_repeats(none).count() == 0
 
 
+def thue_morse(n: int) -> list[int]:
+    """A sequence whose polynomial modulo a power of two is that of its complement, whatever the base."""
+    return [i.bit_count() & 1 for i in range(n)]
+
+
+def test_no_structure_makes_hashes_collide(spark):
+    one, two = ("".join(pair[i] for i in thue_morse(2048)) for pair in ("ab", "ba"))
+    tail = " ".join(f"t{i}" for i in range(40))
+    apart = [" ".join(pair[i] for i in thue_morse(2048)) for pair in (("a", "b"), ("b", "a"))]
+    docs = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, apart[0]), (4, apart[1]), (5, f"{one}\n{two}\n{one}")], "doc_id long, text string")
+    removed = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()}
+    assert (removed[1], removed[2]) == (0, 40)
+    assert {r.doc_id: r.copy_of for r in minhash.near_duplicates(docs).collect()} == {i: i for i in range(1, 6)}
+    assert quality.judge(docs, spark.createDataFrame([], "doc_id long, quality int")).where("doc_id = 5").first().n_dup_lines == 1
+
+
+def test_what_a_long_window_is_hashed_to():
+    from onefold.llm.words import span_hashes, window_hashes
+
+    one, two = (np.frombuffer("".join(pair[i] for i in thue_morse(2048)).encode(), np.uint8) for pair in ("ab", "ba"))
+    for size in (8, 64, 512, 1024, 2048):  # in steps, and by BLAKE2
+        assert span_hashes(one, np.array([0]), np.array([size])) != span_hashes(two, np.array([0]), np.array([size]))
+    words = np.array([3, 5], np.uint64)
+    for width in (8, 128, 2048):
+        a, b = (window_hashes(words[[x ^ flip for x in thue_morse(width)]], np.array([0]), width) for flip in (0, 1))
+        assert a != b
+
+
 def similarity(a: collections.Counter, b: collections.Counter) -> float:
     every = a.keys() | b.keys()
     return sum(1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in every) for d in a.keys() & b.keys())
@@ -318,6 +347,11 @@ def test_near_duplicates(spark, none):
     found = minhash.near_duplicates(frame).toPandas()
     assert len(found) == len(docs)
     assert {int(r.doc_id): int(r.class_id) for r in found.itertuples() if not pd.isna(r.doc_id)} == label
+    for r in found.itertuples():
+        if not pd.isna(r.linked_to):
+            assert r.similarity >= 0.8 and r.similarity == pytest.approx(similarity(sets[int(r.copy_of)], sets[int(r.linked_to)]))
+        else:
+            assert pd.isna(r.doc_id) or len({x.copy_of for x in found.itertuples() if x.class_id == r.class_id}) == 1
     kept = minhash.one_of_each(frame)
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {i for i, x in label.items() if i == x} | {None}
     assert minhash.near_duplicates(none).count() == 0
