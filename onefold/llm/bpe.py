@@ -1,8 +1,9 @@
 """Byte-level BPE on top of the `tokenizers` library: one encoding for each distinct piece of text, kept by the worker.
 
 Pre-tokens are independent, so a text's ids are the ids of its pre-tokens in turn. A single space that has no white
-space beside it begins a pre-token, so texts are first cut at such spaces, which is quick, and most of the pieces are a
-dictionary look-up; the rest are cut into pre-tokens by the pattern. Nothing is trained here: a vocabulary file is always given.
+space after it begins a pre-token, so texts are first cut at such spaces, which is quick, and most of the pieces are a
+dictionary look-up. The pieces of a batch that are new are cut into pre-tokens as one text, and new pre-tokens go to the
+library's model. Nothing is trained here: a vocabulary file is always given.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from public_tokenizers import PATTERN  # noqa: E402
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers  # noqa: E402
 
-#: Entries of each of the two generations that a worker keeps of pre-tokens and of pieces, and characters of the longest one kept.
-KEPT, KEPT_CHARS = 500_000, 48
+#: Entries of each of the two generations that a worker keeps of pieces and of pre-tokens, and characters of the longest one kept (so about
+#: 300 MB in all at most); characters of new pieces that are cut at a time.
+KEPT, KEPT_CHARS, BULK = 400_000, 40, 1 << 18
 
 #: Code point ranges in which Python's regular expressions have the letters, numbers and spaces that the library has.
 #: The two know different versions of Unicode; a text with other code points goes to the library uncut.
@@ -73,67 +75,128 @@ def from_ranks(ranks: dict[bytes, int]) -> Tokenizer:
     return made
 
 
-class Kept(dict):
-    """What was made of a text, for the texts that came up lately: those of the last KEPT that were new, and of the KEPT before them."""
+class Latest:
+    """Ids of the texts that came up lately: up to KEPT new ones, and those that were new before them."""
 
-    def __init__(self, make):
-        self.make, self.older = make, {}
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, text: str) -> bytes:
-        if (found := self.older.get(text)) is None:
-            found = self.make(text)
-        if len(text) <= KEPT_CHARS:
-            if len(self) >= KEPT:
-                self.older = dict(self)
-                self.clear()
-            self[text] = found
-        return found
+    def known(self, texts: set[str]) -> dict[str, bytes]:
+        new, old = self.new, self.old
+        return {x: ids for x in texts if (ids := new.get(x) or old.get(x)) is not None}
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        if len(self.new) + len(found) > KEPT:
+            self.old, self.new = self.new, {}
+        self.new.update((x, ids) for x, ids in found.items() if len(x) <= KEPT_CHARS)
 
 
 class WordBPE:
     """Encodes and decodes whole texts.
 
-    The ids of a text are little-endian integers of `dtype` in a bytes object, as they are stored.
+    The ids of a text are little-endian integers of `dtype` in a bytes object, as they are stored. Special tokens in a
+    text are text like any other, or with `special` what the library makes of them by default.
     """
 
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path) if path.endswith(".json") else from_ranks(read_ranks(path))
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str, special: bool = False):
+        make = lambda: Tokenizer.from_file(path) if path.endswith(".json") else from_ranks(read_ranks(path))
+        self.tokenizer = self.plain = make()
+        if special and self.tokenizer.get_added_tokens_decoder():
+            self.plain = make()
+        self.plain.encode_special_tokens = True
+        added = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.special = re.compile("|".join(added)).search if added else None
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.split = regex.compile(PATTERN).findall
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.words, self.pieces = Kept(self._word), Kept(self._piece)
-        self.chars = {b: c for b, c in byte_chars().items()}
         back = {c: b for b, c in byte_chars().items()}
         self.bytes_of = [b""] * size
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        self.split = regex.compile(PATTERN).findall
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.chars = byte_chars()
+        self.pieces, self.words = Latest(), Latest()
+
+    def _library(self, text: str, tokenizer: Tokenizer | None = None) -> bytes:
+        return np.array((tokenizer or self.plain).encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token, given to the library's model as its bytes' characters."""
-        tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.chars))
+        tokens = self.plain.model.tokenize(word.encode().decode("latin-1").translate(self.chars))
         return array(self.code, [token.id for token in tokens]).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a space and `piece`."""
-        return self._cut(" " + piece)
+    def _words(self, text: str) -> tuple[list[str], dict[str, bytes]]:
+        """The pre-tokens of a text, and the ids of each."""
+        words = self.split(text)
+        every = set(words)
+        found = self.words.known(every)
+        found |= {word: self._word(word) for word in every - found.keys()}
+        self.words.keep(found)
+        return words, found
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of a space and each of the pieces, none of which begins with white space."""
+        words, found = self._words(" " + " ".join(pieces))
+        ends = np.cumsum([len(word) for word in words])
+        want = np.cumsum([len(piece) + 1 for piece in pieces])
+        at = np.searchsorted(ends, want) + 1
+        if (ends[at - 1] != want).any():
+            raise RuntimeError("a pre-token crosses a space that begins one")
+        at = at.tolist()
+        return [b"".join([found[word] for word in words[a:b]]) for a, b in zip([0, *at], at, strict=False)]
+
+    def _learned(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't among the latest ones. A piece that begins with a NUL and a space is the rest of it, at a text's begin."""
+        found = {piece: ids for piece in new if (ids := self.pieces.old.get(piece)) is not None}
+        rest, size = [], 0
+        for piece in new - found.keys():
+            if piece[:2] == "\0 " or not piece:
+                words, ids = self._words(piece[2:] if piece else " ")
+                found[piece] = b"".join([ids[word] for word in words])
+                continue
+            rest.append(piece)
+            size += len(piece)
+            if size >= BULK:
+                found.update(zip(rest, self._together(rest), strict=True))
+                rest, size = [], 0
+        if rest:
+            found.update(zip(rest, self._together(rest), strict=True))
+        self.pieces.keep(found)
+        return found
 
-    def _cut(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split(text)))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, without special tokens at its ends."""
+        out: list = [b""] * len(texts)
+        cut: list[tuple[int, list[str]]] = []
+        for i, text in enumerate(texts):
+            if self.special and self.special(text):
+                out[i] = self._library(text, self.tokenizer)
+            elif _rare(text):
+                out[i] = self._library(text)
+            elif _WIDE_SPACE.search(text):
+                words, found = self._words(text)
+                out[i] = b"".join([found[word] for word in words])
+            elif text:
+                cut.append((i, text.split(" ")))
+        known, new, left = self.pieces.new.get, set(), []
+        for i, pieces in cut:
+            pieces[0] = "\0 " + pieces[0]  # no space is before it
+            found = list(map(known, pieces))
+            if None in found:
+                new.update(piece for piece, ids in zip(pieces, found, strict=True) if ids is None)
+                left.append((i, pieces, found))
+            else:
+                out[i] = b"".join(found)
+        if new:
+            learned = self._learned(new)
+            for i, pieces, found in left:
+                out[i] = b"".join([learned[piece] if ids is None else ids for piece, ids in zip(pieces, found, strict=True)])
+        return out
 
     def encode_one(self, text: str) -> bytes:
-        if _rare(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if _WIDE_SPACE.search(text):
-            return self._cut(text)
-        head, *rest = text.split(" ")
-        return self._cut(head) + b"".join(map(self.pieces.__getitem__, rest))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, without special tokens."""
-        return list(map(self.encode_one, texts))
+        return self.encode([text])[0]
 
     def ids(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, self.dtype)
@@ -144,6 +207,6 @@ class WordBPE:
 
 
 @lru_cache(maxsize=4)
-def word_bpe(path: str) -> WordBPE:
-    """One for each worker and vocabulary file."""
-    return WordBPE(path)
+def word_bpe(path: str, special: bool = False) -> WordBPE:
+    """One for each worker, vocabulary file and treatment of special tokens."""
+    return WordBPE(path, special)

@@ -29,7 +29,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, at = word_bpe(path), TaskContext.get().partitionId(), 0
+        bpe, part, at = word_bpe(path, special=True), TaskContext.get().partitionId(), 0
         end = np.array([end_id], bpe.dtype).tobytes()
         for step in common.steps(batches, "text"):
             packed = [ids + end for ids in bpe.encode(step.column("text").to_pylist())]
@@ -62,7 +62,7 @@ def _pieces(length: int, dtype: str):
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
     """One row for each piece of a document in a sequence of `length` ids (`PIECES`).
 
-    `docs` has doc_id and text; other columns are ignored, whatever their names. A null or empty text is the end id
+    A special token that is written out in a text is that token, as the library's plain call has it. `docs` has doc_id and text; other columns are ignored, whatever their names. A null or empty text is the end id
     alone. A null doc_id stays null, repeated rows are packed each by itself, a very long text takes many sequences, and an
     empty table gives no rows. Sequences are full but the last one, which has only its own ids.
     The only broadcast is one row of two numbers for each partition of `docs`.
@@ -73,4 +73,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, l
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
     placed = encoded.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("begin"), "n_ids", "ids")
-    return placed.mapInArrow(_pieces(length, word_bpe(path).dtype.str), PIECES)
+    return placed.mapInArrow(_pieces(length, word_bpe(path, special=True).dtype.str), PIECES)

@@ -60,8 +60,11 @@ def test_ids_are_the_libraries(given):
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     random.seed(6)
     made = ["".join(random.choice(PIECES) for _ in range(random.randrange(9))) for _ in range(4000)]
-    one, two = word_bpe(JSON), word_bpe(RANKS)
-    for text in [*made, *(t or "" for _, t in given)]:
+    one, two, plain, special = word_bpe(JSON), word_bpe(RANKS), Tokenizer.from_file(JSON), word_bpe(JSON, special=True)
+    every = [*made, *(t or "" for _, t in given)]
+    assert [one.ids(x).tolist() for x in one.encode(every)] == [library.encode(t, add_special_tokens=False).ids for t in every]
+    assert [one.ids(x).tolist() for x in special.encode(every)] == [plain.encode(t, add_special_tokens=False).ids for t in every]
+    for text in every:
         assert one.ids(one.encode_one(text)).tolist() == library.encode(text, add_special_tokens=False).ids
         assert two.ids(two.encode_one(text)).tolist() == other.encode_ordinary(text)
         assert two.decode(two.ids(two.encode_one(text)).tolist()) == text.encode()
@@ -92,8 +95,8 @@ def test_offsets_and_split_characters(spark):
 
 
 def test_packing(docs, given, none):
-    library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
+    library = Tokenizer.from_file(JSON)  # called plainly: <|endoftext|> in a text is one id
+    assert 50256 in library.encode("a<|endoftext|>b", add_special_tokens=False).ids
     want = collections.Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in given)
     found = packing.pack(docs, length=64).toPandas().sort_values(["sequence_id", "offset"])
     sizes = found.groupby("sequence_id").length.sum()
