@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from onefold.scratch import written
 
-__all__ = ["STEP_BYTES", "steps", "table", "text_of", "written"]
+__all__ = ["STEP_BYTES", "small_batches", "steps", "table", "text_of", "written"]
 
 #: Text bytes that one step of a Python worker holds at a time; a longer text is a step of its own.
 STEP_BYTES = 1 << 19
@@ -26,10 +26,15 @@ BATCH_BYTES = "4m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of BATCH_BYTES, unless the session says otherwise. The setting stays, as Spark reads it when a result is asked for."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
-    """A text column as a string, null as the empty text. Texts then go to Python in batches of BATCH_BYTES, unless the session says otherwise."""
-    if df.sparkSession.conf.get(_BATCH, None) is None:
-        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+    """A text column as a string, null as the empty text."""
+    small_batches(df.sparkSession)
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 

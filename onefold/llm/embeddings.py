@@ -1,15 +1,17 @@
 """Near-duplicate vectors by cosine, with a navigable small-world graph for each shard.
 
 Equal vectors are one class. Classes are dealt into shards by their id, each shard becomes a graph, and every class is
-looked for in every shard, a block of queries at a time. A beam is widened for a query while all that it holds are links, and for
-the whole block while an audit finds that links are missed: the audit compares some of the block's queries with all the shard, and each
-query of the shard must find itself. The links found are verified in double precision; each block hands on a
-spanning forest of its links, and components are joined over those.
+looked for in every shard: a task loads a graph once, and its queries stream past it, a block at a time. A beam is widened for a
+query while all that it holds are links, and for the whole block while an audit finds that links are missed: the audit
+compares some of the block's queries with all the shard, and each query of the shard must find itself. The widest beam is the whole
+shard. The links found are verified in double precision, counted and forgotten a few queries at a time; what a task hands on
+is one link for each query and a spanning forest of its shard, and components are joined over those.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +23,17 @@ from onefold.llm.hnsw import Graph
 from onefold.operators.components import components
 
 SIMILARITY = 0.9
-#: Shards there are at least, vectors of a shard and of a block of queries at most, about.
-SHARDS, SHARD_SIZE, BLOCK = 6, 65_536, 4_096
+#: Shards there are at least, vectors of a shard and queries of a task at most, about, and queries of a block.
+SHARDS, SHARD_SIZE, TASK, BLOCK = 6, 65_536, 65_536, 4_096
 BEAM, AUDITED, RECALL = 64, 24, 0.999
+#: Similarities that are held at a time.
+HELD = 1 << 22
 
 _FOUND = "u long, v long, links long"
 
 
-def _matrix(table: pa.Table, column: str = "embedding") -> np.ndarray:
-    values = table.column(column).combine_chunks()
+def _matrix(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
 
 
@@ -39,95 +43,142 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _graph(group: pa.Table) -> pa.Table:
+    """The graph of a shard, with its vectors once, in single precision if that loses nothing."""
     group = group.sort_by("vec_id")
-    graph = Graph(_unit(_matrix(group)))
-    packed = pickle.dumps((graph, group.column("vec_id").to_numpy(), group.column("copies").to_numpy(), _matrix(group)), protocol=5)
+    vectors = _matrix(group.column("embedding"))
+    graph = Graph(_unit(vectors))
+    with np.errstate(over="ignore"):
+        single = vectors.astype(np.float32)
+    layers = [(nodes.astype(np.int32), links.astype(np.int32)) for nodes, links in graph.layers]
+    packed = pickle.dumps((layers, single if (single == vectors).all() else vectors, group.column("vec_id").to_numpy(), group.column("copies").to_numpy()), protocol=5)
     return pa.table({"dim": group.column("dim").slice(0, 1), "shard": group.column("shard").slice(0, 1), "graph": pa.array([packed], pa.binary())})
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links to the least node of each component of the links (u, v)."""
-    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = ends[: len(u)], ends[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        np.minimum.at(new, label[a], least)
-        np.minimum.at(new, label[b], least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    far = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[far], nodes[label[far]]
-
-
-def search_shard(graph: Graph, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, similarity: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, place in the shard) of all links that the audited search finds, verified; a vector is no link of itself."""
-    base, q = _unit(vectors), _unit(queries)
-    near = similarity - 1e-5
-    own = np.flatnonzero(np.isin(query_ids, ids))
-    picks = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
-    beams = np.full(len(q), min(beam, len(ids)))
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
-    todo = np.arange(len(q))
-    while True:
-        for width in np.unique(beams[todo]):
-            group = todo[beams[todo] == width]
-            size = max(16, min(256, (1 << 24) // max(1, len(ids))))
-            for lo in range(0, len(group), size):
-                some = group[lo : lo + size]
-                if width >= len(ids):
-                    sims, places = q[some].astype(np.float32) @ graph.vectors.T, np.broadcast_to(np.arange(len(ids)), (len(some), len(ids)))
-                else:
-                    sims, places = graph.search(q[some].astype(np.float32), int(width))
-                hit = (sims >= near) & (places >= 0)
-                for i, row in enumerate(some):
-                    found[row] = places[i][hit[i]]
-        full = np.array([len(found[i]) >= beams[i] < len(ids) for i in todo], bool)
-        if full.any():  # all that the beam holds are links: there may be more
-            todo = todo[full]
-            beams[todo] = np.minimum(beams[todo] * 4, len(ids))
-            continue
-        linked = [i for i in range(len(q)) if len(found[i]) > 1][:AUDITED]
-        audited = np.unique(np.concatenate([picks, np.array(linked, int)]))
-        truth = (q[audited] @ base.T) >= similarity
-        missed = sum(len(np.setdiff1d(np.flatnonzero(t), found[i], assume_unique=True)) for i, t in zip(audited, truth, strict=True))
-        lost = [i for i in own if not (ids[found[i]] == query_ids[i]).any()]
-        if missed <= (1 - RECALL) * truth.sum() and not lost:
-            break
-        if missed > (1 - RECALL) * truth.sum():
-            todo = np.flatnonzero(beams < len(ids))
+class Shard:
+    """A loaded graph, what its queries found, and which of its vectors they join."""
+
+    def __init__(self, packed: bytes, similarity: float, beam: int = BEAM):
+        layers, vectors, self.ids, self.copies = pickle.loads(packed)
+        self.base = _unit(vectors.astype(np.float64))
+        self.graph = Graph.of(self.base, [(nodes.astype(np.int64), links.astype(np.int64)) for nodes, links in layers])
+        self.similarity, self.beam = similarity, min(beam, len(self.ids))
+        self.label = np.arange(len(self.ids))
+
+    def _hits(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place) of the verified links, and how many near places each query's beam held."""
+        single, n = q.astype(np.float32), len(self.ids)
+        if width >= n:
+            near = single @ self.graph.vectors.T >= self.similarity - 1e-5
+            row, place = np.nonzero(near)
         else:
-            todo = np.array([i for i in lost if beams[i] < len(ids)], int)
-        if not len(todo):
-            break
-        beams[todo] = np.minimum(beams[todo] * 2, len(ids))
-    row = np.repeat(np.arange(len(q)), [len(x) for x in found])
-    place = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
-    keep = np.zeros(len(row), bool)
-    for lo in range(0, len(row), 1 << 16):
-        part = slice(lo, lo + (1 << 16))
-        keep[part] = np.einsum("id,id->i", q[row[part]], base[place[part]]) >= similarity
-    keep &= query_ids[row] != ids[place]
-    return row[keep], place[keep]
+            sims, places = self.graph.search(single, width)
+            near = (sims >= self.similarity - 1e-5) & (places >= 0)
+            row, place = np.nonzero(near)[0], places[near]
+        keep = np.zeros(len(row), bool)
+        for lo in range(0, len(row), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            keep[part] = np.einsum("id,id->i", q[row[part]], self.base[place[part]]) >= self.similarity
+        return row[keep], place[keep], near.sum(1)
+
+    def _join(self, places: np.ndarray) -> None:
+        labels = np.unique(self.label[places])
+        if len(labels) > 1:
+            self.label[np.isin(self.label, labels)] = labels[0]
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a block of queries: the links of each, copies counted, and a place that it links with (-1: none). A vector is no link of itself."""
+        q, n = _unit(queries), len(self.ids)
+        own = np.searchsorted(self.ids, query_ids)
+        own = np.where((own < n) & (self.ids[np.minimum(own, n - 1)] == query_ids), own, -1)
+        audited = set(np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)).tolist())
+        extra, held = AUDITED, {}
+        links, link, itself = np.zeros(len(q), np.int64), np.full(len(q), -1), np.ones(len(q), bool)
+        beams, todo = np.full(len(q), self.beam), np.arange(len(q))
+        while True:
+            full = np.zeros(len(q), bool)
+            for width in np.unique(beams[todo]):
+                group = todo[beams[todo] == width]
+                size = max(1, min(256, HELD // max(n if width >= n else width, 1)))
+                for lo in range(0, len(group), size):
+                    some = group[lo : lo + size]
+                    row, place, near = self._hits(q[some], int(width))
+                    full[some] = (near >= width) & (width < n)
+                    at = np.searchsorted(row, np.arange(len(some) + 1))
+                    for i, query in enumerate(some.tolist()):
+                        found = place[at[i] : at[i + 1]]
+                        if query in audited or extra and len(found) > 1:
+                            extra -= query not in audited
+                            audited.add(query)
+                            held[query] = found
+                        if own[query] >= 0:
+                            itself[query] = (found == own[query]).any()
+                        self._join(found)
+                        found = found[found != own[query]]
+                        links[query] = self.copies[found].sum()
+                        if len(found):
+                            link[query] = found[0]
+            if full.any():  # all that the beam holds are links: there may be more
+                todo = np.flatnonzero(full)
+                beams[todo] = np.minimum(beams[todo] * 4, n)
+                continue
+            truth = {i: np.flatnonzero(self.base @ q[i] >= self.similarity) for i in sorted(audited)}
+            missed = sum(len(np.setdiff1d(t, held[i])) for i, t in truth.items())
+            if missed > (1 - RECALL) * sum(map(len, truth.values())):
+                todo = np.flatnonzero(beams < n)
+            else:
+                todo = np.flatnonzero(~itself & (own >= 0) & (beams < n))
+            if not len(todo):
+                return links, link
+            beams[todo] = np.minimum(beams[todo] * 2, n)
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Links of the vectors that queries joined, each with the first of its tree."""
+        far = np.flatnonzero(self.label != np.arange(len(self.ids)))
+        return self.ids[far], self.ids[self.label[far]]
 
 
 def _searched(similarity: float):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        graph, ids, copies, vectors = pickle.loads(right.column("graph")[0].as_py())
-        query_ids = left.column("vec_id").to_numpy()
-        row, place = search_shard(graph, ids, vectors, query_ids, _matrix(left), similarity)
-        links = np.bincount(row, weights=copies[place], minlength=len(query_ids)).astype(np.int64)
-        some = np.flatnonzero(links)
-        u, v = forest(query_ids[row], ids[place])
-        return pa.table({"u": np.concatenate([query_ids[some], u]), "v": np.concatenate([query_ids[some], v]), "links": np.concatenate([links[some], np.zeros(len(u), np.int64)])})
+    """Rows in the order of their shards, the graph before its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, of, ids, vectors = None, None, [], []
+
+        def row(u, v, links) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, links)], ["u", "v", "links"])
+
+        def block() -> Iterator[pa.RecordBatch]:
+            if ids:
+                query_ids = np.concatenate(ids)
+                links, link = shard.search(query_ids, np.concatenate(vectors))
+                ids.clear()
+                vectors.clear()
+                some = np.flatnonzero(links)
+                yield row(query_ids[some], shard.ids[link[some]], links[some])
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if shard is not None:
+                yield from block()
+                u, v = shard.forest()
+                yield row(u, v, np.zeros(len(u), np.int64))
+
+        for batch in batches:
+            graphs = batch.column("graph")
+            heads = np.flatnonzero(graphs.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            keys = list(zip(*(batch.column(x).to_pylist() for x in ("dim", "shard", "slot")), strict=True))
+            for lo, hi in zip([0, *heads], [*heads, batch.num_rows], strict=True):
+                if lo in heads:
+                    yield from end()
+                    shard, of = Shard(graphs[lo].as_py(), similarity), keys[lo]
+                    lo += 1
+                while lo < hi:
+                    some = min(hi, lo + BLOCK - sum(map(len, ids)))
+                    if of == keys[lo] == keys[some - 1]:  # a shard without vectors has queries, but no graph
+                        ids.append(batch.column("vec_id").slice(lo, some - lo).to_numpy())
+                        vectors.append(_matrix(batch.column("embedding").slice(lo, some - lo)))
+                        if sum(map(len, ids)) >= BLOCK:
+                            yield from block()
+                    lo = some
+        yield from end()
 
     return run
 
@@ -146,17 +197,18 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY) -> DataF
     classes = common.written(valid.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")), "classes")
     members = common.written(valid.join(classes.where("copies > 1"), "embedding").select("vec_id", "first", "copies"), "members")
     n = classes.count()
-    shards, blocks = max(SHARDS, -(-n // SHARD_SIZE)), max(1, -(-n // BLOCK))
+    shards, slots = max(SHARDS, -(-n // SHARD_SIZE)), max(1, -(-n // TASK))
     dealt = classes.select(F.col("first").alias("vec_id"), "copies", "embedding", F.size("embedding").alias("dim"))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")).withColumn("slot", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(slots)).cast("int"))
     graphs = common.written(dealt.groupBy("dim", "shard").applyInArrow(_graph, "dim int, shard int, graph binary"), "graphs")
-    queries = dealt.drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dim", "shard", "block"]
-    found = queries.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(_searched(similarity), _FOUND)
-    found = common.written(found, "found")
+    each = lambda name, many: F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias(name)
+    queries = dealt.select("dim", "slot", "vec_id", "embedding", each("shard", shards))
+    rows_of = graphs.select("dim", "shard", "graph", each("slot", slots)).unionByName(queries, allowMissingColumns=True)
+    ordered = rows_of.repartition("dim", "shard", "slot").sortWithinPartitions("dim", "shard", "slot", F.col("graph").isNull())
+    common.small_batches(spark)
+    found = common.written(ordered.mapInArrow(_searched(similarity), _FOUND), "found")
     counts = found.where("links > 0").groupBy("u").agg(F.sum("links").alias("links"))
-    linked = components(found.where("links = 0").select("u", "v").unionByName(members.select(F.col("first").alias("u"), F.col("vec_id").alias("v"))), "u", "v")
+    linked = components(found.select("u", "v").unionByName(members.select(F.col("first").alias("u"), F.col("vec_id").alias("v"))), "u", "v")
     own = members.groupBy("vec_id").agg(F.min("first").alias("first"), F.sum(F.col("copies") - 1).alias("copies"))
     out = rows.select("vec_id").join(own, "vec_id", "left").join(linked, F.col("vec_id") == linked["node"], "left")
     out = out.join(counts, F.coalesce("first", "vec_id") == counts["u"], "left")

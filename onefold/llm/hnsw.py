@@ -50,6 +50,13 @@ class Graph:
             nodes = order[: int((level >= at).sum())]
             self.layers[at] = (nodes, self._joined(at, nodes))
 
+    @classmethod
+    def of(cls, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> Graph:
+        """A graph that was built before."""
+        made = cls(vectors[:0])
+        made.vectors, made.layers = np.ascontiguousarray(vectors, np.float32), layers
+        return made
+
     def _joined(self, at: int, nodes: np.ndarray) -> np.ndarray:
         most = 2 * LINKS if at == 0 else LINKS
         vectors = self.vectors[nodes]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from onefold.llm import coding, counting, embeddings, html, minhash, packing, quality, secrets, sharding, substrings
-from onefold.llm.common import table, text_of
+from onefold.llm.common import table, written
 from onefold.scratch import scratch_path
 
 
@@ -20,8 +20,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return counting.recount(docs, counting.masks(text_of(docs)))
+    trees = written(counting.plant(table(spark, sf_dir, "documents")), "trees")
+    return counting.recount(trees, counting.masks(trees["text"]))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

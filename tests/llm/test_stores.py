@@ -109,9 +109,27 @@ def test_near_vectors(spark):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_forest_keeps_components():
-    u, v = np.array([5, 7, 9, 20]), np.array([7, 9, 3, 21])
-    assert sorted(zip(*map(np.ndarray.tolist, embeddings.forest(u, v)), strict=True)) == [(5, 3), (7, 3), (9, 3), (21, 20)]
+def counted(spark, x: np.ndarray, unit: np.ndarray) -> tuple[list, np.ndarray]:
+    frame = spark.createDataFrame(((i, [float(v) for v in row]) for i, row in enumerate(x)), "vec_id long, embedding array<float>")
+    found = sorted(embeddings.near_duplicates(frame).select("vec_id", "n_links", "component_id").collect())
+    links = np.concatenate([(unit[lo : lo + 1000] @ unit.T >= 0.9).sum(1) - 1 for lo in range(0, len(x), 1000)])
+    return found, links
+
+
+def test_recall_of_links_of_many_vectors(spark):
+    x = planted(20_000)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    found, links = counted(spark, x, unit)
+    got = np.array([r.n_links for r in found])
+    assert (got <= links).all() and got.sum() > 0.999 * links.sum() > 0
+
+
+def test_one_large_group_of_near_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=24) + rng.normal(size=(6000, 24)) * 0.05).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    found, links = counted(spark, x, unit)
+    assert [r.n_links for r in found] == links.tolist() and {r.component_id for r in found} == {0}
 
 
 def test_pipeline_stages(spark, small):

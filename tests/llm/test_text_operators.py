@@ -118,7 +118,7 @@ def test_token_counts_follow_edits():
     random.seed(7)
     for _ in range(150):
         text = "".join(random.choice([*PIECES, " word", " words", " more"]) for _ in range(random.randrange(120)))
-        tree = counting.TokenTree(text, bpe, size=8)
+        tree = counting.TokenTree.of(text, bpe, size=8)
         for _ in range(8):
             start = random.randrange(len(text) + 1)
             end = min(len(text), start + random.choice([0, 1, 3, 20]))
@@ -132,16 +132,31 @@ def test_token_counts_follow_edits():
         tree.edit(0, len(text) + 1, "")
 
 
-def test_an_edit_recodes_little():
-    tree = counting.TokenTree("some plain words here " * 5000, word_bpe(JSON))
-    tree.edit(50_000, 50_004, "other")
+@pytest.mark.parametrize("word", ["some plain words here ", "ohne。Leerzeichen，", "line\n"])
+def test_an_edit_recodes_little(word):
+    tree = counting.TokenTree.of(word * 5000, word_bpe(JSON))
+    tree.edit(20_000, 20_004, "other")
     assert 0 < tree.recoded < 2000
+    tree.edit(3000, 3001, "a long insert " * 500)
+    assert tree.recoded < 12_000 and tree.total == len(word_bpe(JSON).encode_one(tree.text)) // 2
 
 
-def test_recount(docs, given, none):
-    found = counting.recount(docs, counting.masks(F.coalesce(F.col("text"), F.lit("")))).toPandas()
-    assert len(found) == len(given) and (found.n_edits == 0).sum() > 0
-    assert counting.recount(none, F.lit(None)).count() == 0
+def test_recount(spark, docs, given, none):
+    bpe = word_bpe(JSON)
+    trees = counting.plant(docs.withColumn("text", F.concat(F.col("text"), F.lit(" mail me at a.b@x.org, or 12345678."))))
+    count = lambda text: len(bpe.encode_one(text)) // 2
+    texts = [(i, None if t is None else (t + " mail me at a.b@x.org, or 12345678.")) for i, t in given]
+    want = []
+    for i, text in texts:
+        after, n = re.subn(counting.MASKED, counting.MASK, text or "")
+        want.append((i, count(text or ""), n, count(after), len(after)))
+    found = counting.recount(trees, counting.masks(F.col("text"))).toPandas()
+    assert rows(found.drop(columns="n_chars_recoded")) == rows(pd.DataFrame(want, columns=["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_chars_after"]))
+    assert found.n_chars_recoded.max() < 3000 + 5200  # the longest leaf is one of 5000 letters
+    once = spark.createDataFrame(counting.edited(trees, counting.masks(F.col("text"))).collect(), counting.EDITED)  # trees are kept over edits
+    again = counting.recount(once, F.expr("array(named_struct('start', 0, 'end', least(3, length(text)), 'new', 'Zz 9'))")).toPandas()
+    assert sorted(again.n_tokens_after) == sorted(count("Zz 9" + re.sub(counting.MASKED, counting.MASK, t or "")[3:]) for _, t in texts)
+    assert counting.recount(counting.plant(none), F.lit(None)).count() == 0
 
 
 def expected_statistics(text: str) -> tuple:
