@@ -204,7 +204,8 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY) -> DataF
     each = lambda name, many: F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias(name)
     queries = dealt.select("dim", "slot", "vec_id", "embedding", each("shard", shards))
     rows_of = graphs.select("dim", "shard", "graph", each("slot", slots)).unionByName(queries, allowMissingColumns=True)
-    ordered = rows_of.repartition("dim", "shard", "slot").sortWithinPartitions("dim", "shard", "slot", F.col("graph").isNull())
+    # a partition for each shard and slot: Spark would make one task of small ones, whose work isn't small
+    ordered = rows_of.repartitionById(shards * slots, (F.col("shard") * slots + F.col("slot")).cast("int")).sortWithinPartitions("dim", "shard", "slot", F.col("graph").isNull())
     common.small_batches(spark)
     found = common.written(ordered.mapInArrow(_searched(similarity), _FOUND), "found")
     counts = found.where("links > 0").groupBy("u").agg(F.sum("links").alias("links"))

@@ -126,7 +126,7 @@ def test_recall_of_links_of_many_vectors(spark):
 
 def test_one_large_group_of_near_vectors(spark):
     rng = np.random.default_rng(5)
-    x = (rng.normal(size=24) + rng.normal(size=(6000, 24)) * 0.05).astype(np.float32)
+    x = (rng.normal(size=24) + rng.normal(size=(4000, 24)) * 0.05).astype(np.float32)
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     found, links = counted(spark, x, unit)
     assert [r.n_links for r in found] == links.tolist() and {r.component_id for r in found} == {0}
