@@ -1,46 +1,143 @@
 """A store of people that grows: batches of records are linked to who is known, and only people they touch are resolved anew.
 
-State is four tables: records (with record_id, candidate_id, origin), statuses (candidate_id, reviewed), corrections
-(candidate_id, field, value, seq) and displaced (source, one row for each corrected value that a source had won). Every
-step gives a new state; none changes a table in place.
+A store is six tables: records (with record_id, candidate_id, origin), keys (of each record), people, reviewed
+(candidate_id), corrections (candidate_id, field, value, seq) and displaced (source, one row for each corrected value that a source had
+won). The first three are kept in parts: a batch adds a part of what is new, which counts instead of rows with the same
+key in earlier parts, and when there are many they become one. So a batch is read against the store's keys, but
+writes no more than it touches. Every step gives a new state; none changes a table in place.
+
+`save` makes a state the next version below its root, and `load` gives it back, in another session too.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from collections import defaultdict
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from onefold.functions.skills import token_sort
 from onefold.model import FIELDS, REVIEW_THRESHOLD
 from onefold.operators import calibration, trust
 from onefold.operators.components import components
+from onefold.operators.durable import Versions
 from onefold.operators.records import identity_keys, normalized
 from onefold.operators.resolve import gathered, resolved
 from onefold.scratch import written
 
 STRONG = ("email", "phone", "github")
 NAME_LEAST, LINK_LEAST = 92.0, 0.9
+#: Parts of a table before they become one.
+PARTS = 6
 _RECORDS = "record_id string, candidate_id string, origin string, ord long, source string, method string, " + ", ".join(f"{n} {k}" for n, k in FIELDS.items())
+_KEYS = "record_id string, candidate_id string, key_type string, key_value string"
 #: Corrections that have a field of their own in a record; others are kept, but resolve nothing.
 _TEXTS = ("full_name", "headline")
 
 
+@dataclass(frozen=True)
+class Parts:
+    """A table in parts, the latest last."""
+
+    key: str
+    frames: tuple[DataFrame, ...]
+
+    def whole(self) -> DataFrame:
+        """The rows whose key no later part has."""
+        out = [self.frames[-1]]
+        for i in range(len(self.frames) - 1):
+            later = reduce(DataFrame.unionByName, [x.select(self.key) for x in self.frames[i + 1 :]])
+            out.append(self.frames[i].join(later, self.key, "left_anti"))
+        return reduce(lambda a, b: a.unionByName(b.select(a.columns)), out)
+
+
 @dataclass(frozen=True)
 class State:
-    records: DataFrame
+    spark: SparkSession
+    parts: dict[str, Parts]
     reviewed: DataFrame
     corrections: DataFrame
     displaced: DataFrame
-    people: DataFrame | None = None
     threshold: float = REVIEW_THRESHOLD
+    root: str | None = None
+    #: What each stream has brought: its last batch.
+    streams: dict[str, int] = field(default_factory=dict)
 
+    @property
+    def records(self) -> DataFrame:
+        return self.parts["records"].whole()
 
-def empty(spark: SparkSession) -> State:
+    @property
+    def keys(self) -> DataFrame:
+        """(record_id, candidate_id, key_type, key_value)"""
+        return self.parts["keys"].whole().where("key_type is not null")
+
+    @property
+    def people(self) -> DataFrame | None:
+        return self.parts["people"].whole() if "people" in self.parts else None
+
+
+def empty(spark: SparkSession, root: str | None = None) -> State:
+    """A store without people. Its tables go below `root`, or to the scratch folder where nothing is to outlive the session."""
     make = lambda ddl: spark.createDataFrame([], ddl)
-    return State(make(_RECORDS), make("candidate_id string"), make("candidate_id string, field string, value string, seq long"), make("source string"))
+    parts = {"records": Parts("record_id", (make(_RECORDS),)), "keys": Parts("record_id", (make(_KEYS),))}
+    return State(spark, parts, make("candidate_id string"), make("candidate_id string, field string, value string, seq long"), make("source string"), root=root)
+
+
+def _put(state: State, df: DataFrame, name: str) -> DataFrame:
+    return written(df, name, state.root and f"{state.root.rstrip('/')}/tables")
+
+
+def _added(state: State, name: str, key: str, new: DataFrame) -> State:
+    """The state with `new` as the latest part of a table."""
+    known = state.parts[name].frames if name in state.parts else ()
+    parts = Parts(key, (*known, _put(state, new, name)))
+    if len(parts.frames) > PARTS:
+        parts = Parts(key, (_put(state, parts.whole(), name),))
+    return replace(state, parts=state.parts | {name: parts})
+
+
+def save(state: State) -> int:
+    """Makes the state the next version below its root and returns its number. An error if another writer was first."""
+    if not state.root:
+        raise ValueError("a store without a root can't be saved")
+    versions = Versions(state.spark, state.root)
+    path = lambda df, name: _path(df) or _path(_put(state, df, name))
+    tables = {name: [path(x, name) for x in parts.frames] for name, parts in state.parts.items()}
+    small = {name: path(getattr(state, name), name) for name in ("reviewed", "corrections", "displaced")}
+    schemas = {name: parts.frames[-1].schema.json() for name, parts in state.parts.items()}
+    number = versions.latest() + 1
+    versions.commit(number, {"parts": tables, "schemas": schemas, "small": small, "threshold": state.threshold, "streams": state.streams})
+    return number
+
+
+def _path(df: DataFrame) -> str | None:
+    """The folder of a table that `written` made."""
+    return getattr(df, "_onefold_path", None)
+
+
+def load(spark: SparkSession, root: str, version: int | None = None) -> State:
+    """The state of a version below `root`, the latest by default; an empty one if there is none."""
+    versions, none = Versions(spark, root), empty(spark, root)
+    number = versions.latest() if version is None else version
+    if not number:
+        return none
+    found = versions.read(number)
+
+    def read(path: str, schema) -> DataFrame:
+        out = spark.read.schema(schema).parquet(path)
+        out._onefold_path = path
+        return out
+
+    keys = {"records": "record_id", "keys": "record_id", "people": "candidate_id"}
+    parts = {name: Parts(keys[name], tuple(read(x, StructType.fromJson(json.loads(found["schemas"][name]))) for x in paths)) for name, paths in found["parts"].items()}
+    small = {name: read(path, getattr(none, name).schema) for name, path in found["small"].items()}
+    return replace(none, parts=parts, threshold=found["threshold"], streams=found["streams"], **small)
 
 
 def record_id(origin: Column) -> Column:
@@ -64,21 +161,28 @@ def score(known: set[tuple[str, str]], new: set[tuple[str, str]]) -> float:
 def _linked(block: pd.DataFrame) -> pd.DataFrame:
     """In order, links each new record of a block to the best known or new person, or makes one. A new person's id is its base and its record's ord."""
     people: dict[str, set[tuple[str, str]]] = {}
+    who: dict[tuple[str, str], set[str]] = defaultdict(set)
     for cid, keys in block[block["candidate_id"].notna()].groupby("candidate_id"):
         people[cid] = set(zip(keys["key_type"], keys["key_value"], strict=True))
+        for key in people[cid]:
+            who[key].add(cid)
     out = []
     for at, rows in block[block["candidate_id"].isna()].sort_values("ord").groupby("ord", sort=True):
         keys = {(t, v) for t, v in zip(rows["key_type"], rows["key_value"], strict=True) if isinstance(t, str)}
         best, found = 0.0, None
-        for cid in sorted(cid for cid, own in people.items() if own & keys):
+        for cid in sorted(set().union(*(who[key] for key in keys))):
             if (s := score(people[cid], keys)) > best:
                 best, found = s, cid
+            if best == 1.0:  # none is better, and the ones to come are later
+                break
         if found is None or best < LINK_LEAST:
             emails, names = (sorted(v for t, v in keys if t == kind) for kind in ("email", "name"))
             base = emails[0] if emails else names[0].replace(" ", "-") if names else "candidate"
             found = f"\0{base}\0{at}"
             people[found] = set()
         people[found] |= keys
+        for key in keys:
+            who[key].add(found)
         out.append((int(at), found))
     return pd.DataFrame(out, columns=["ord", "token"])
 
@@ -106,18 +210,18 @@ def ingest(state: State, batch: DataFrame, origin: str | None = None) -> State:
     new = batch.withColumn("origin", own).withColumn("record_id", record_id(own))
     new = new.withColumn("_turn", F.row_number().over(Window.partitionBy("record_id").orderBy("ord"))).where("_turn = 1").drop("_turn")
     known = state.records.select("record_id", F.col("candidate_id").alias("known_id"))
-    new = written(new.join(known, "record_id", "left"), "batch")
-    refreshed = new.where("known_id is not null and origin is not null").withColumn("candidate_id", F.col("known_id"))
+    new = written(new.join(known, "record_id", "left").where("known_id is null or origin is not null"), "batch")
+    refreshed = new.where("known_id is not null").withColumn("candidate_id", F.col("known_id"))
     fresh = new.where("known_id is null")
 
-    keys = identity_keys(normalized(fresh, fuzzy=False))
-    weak = keys.join(keys.where("key_type <> 'name'").select("ord").distinct(), "ord", "left_anti")
-    usable = written(keys.where("key_type <> 'name'").unionByName(weak.select(keys.columns)), "keys")
-    old = identity_keys(normalized(state.records, fuzzy=False)).join(state.records.select("ord", "candidate_id"), "ord").select("candidate_id", "key_type", "key_value").distinct()
+    every = written(identity_keys(normalized(new, fuzzy=False)), "keys")  # ord tells the records of a batch apart
+    keys = every.join(fresh.select("ord"), "ord", "left_semi")
+    usable = written(keys.where("key_type <> 'name'").unionByName(keys.join(keys.where("key_type <> 'name'").select("ord"), "ord", "left_anti")), "usable")
+    old = state.keys.drop("record_id").distinct()
+    touched = old.join(usable.select("key_type", "key_value").distinct(), ["key_type", "key_value"], "left_semi").select("candidate_id").distinct()
+    old = written(old.join(touched, "candidate_id", "left_semi"), "known")  # the keys of people whom the batch may mean
     strong_ids = old.where("key_type <> 'name'").select("candidate_id").distinct()
     candidates = old.where("key_type <> 'name'").unionByName(old.where("key_type = 'name'").join(strong_ids, "candidate_id", "left_anti").select(old.columns))
-    near = written(candidates.join(usable.select("key_type", "key_value").distinct(), ["key_type", "key_value"], "left_semi").select("candidate_id").distinct(), "near")
-    candidates = candidates.join(near, "candidate_id")
     nodes = usable.select(F.concat(F.lit("r"), F.col("ord").cast("string")).alias("node"), "key_type", "key_value", "ord", F.lit(None).cast("string").alias("candidate_id"))
     nodes = written(nodes.unionByName(candidates.select(F.concat(F.lit("c"), F.col("candidate_id")).alias("node"), "key_type", "key_value", F.lit(None).cast("long").alias("ord"), "candidate_id")), "nodes")
     hubs = nodes.groupBy("key_type", "key_value").agg(F.min("node").alias("hub"))
@@ -127,13 +231,14 @@ def ingest(state: State, batch: DataFrame, origin: str | None = None) -> State:
     tokens = blocked.select("block", F.coalesce("ord", F.lit(-1)).alias("ord"), "candidate_id", "key_type", "key_value").groupBy("block").applyInPandas(_linked, "ord long, token string")
     bare = fresh.join(usable.select("ord").distinct(), "ord", "left_anti").select("ord", F.concat(F.lit("\0candidate\0"), F.col("ord").cast("string")).alias("token"))
     tokens = written(tokens.unionByName(bare), "tokens")
-    ids = _named(tokens, state.records.select("candidate_id").distinct())
+    ids = _named(tokens, state.parts["records"].whole().select("candidate_id").distinct())
     linked = fresh.join(tokens, "ord").join(ids, "token", "left").withColumn("candidate_id", F.coalesce(ids["candidate_id"], F.col("token")))
-    columns = state.records.columns
-    kept = state.records.join(refreshed.select("record_id"), "record_id", "left_anti")
-    records = written(kept.select(columns).unionByName(refreshed.select(columns)).unionByName(linked.select(columns)), "store")
-    touched = linked.select("candidate_id").unionByName(refreshed.select("candidate_id")).distinct()
-    return _saved(replace(state, records=records), touched)
+    columns = state.parts["records"].frames[0].columns
+    added = _put(state, linked.select(columns).unionByName(refreshed.select(columns)), "records")
+    state = _added(state, "records", "record_id", added)
+    # a record without keys has a row too, so that the keys it had count no more
+    state = _added(state, "keys", "record_id", added.select("record_id", "candidate_id", "ord").join(every, "ord", "left").select("record_id", "candidate_id", "key_type", "key_value"))
+    return _saved(state, added.select("candidate_id").distinct())
 
 
 def overrides(corrections: DataFrame) -> DataFrame:
@@ -157,7 +262,7 @@ def resolve(state: State, only: DataFrame | None = None, fuzzy: bool = True) ->
         records, fixes = (x.join(only, "candidate_id", "left_semi") for x in (records, fixes))
     order = F.row_number().over(Window.partitionBy("candidate_id").orderBy("record_id")).cast("long")
     rows = records.withColumn("ord", order).drop("record_id", "origin").unionByName(fixes, allowMissingColumns=True)
-    learned = calibration.weights(calibration.report(records.sparkSession, state.displaced, state.records))
+    learned = calibration.weights(calibration.report(state.spark, state.displaced, state.records))
     people = trust.reported(resolved(gathered(normalized(rows, fuzzy), "candidate_id"), "candidate_id", learned), state.threshold)
     reviewed = state.reviewed.distinct().withColumn("_reviewed", F.lit(True))
     status = F.when(F.col("_reviewed"), "reviewed").when(F.col("needs_review"), "needs_review").otherwise("accepted")
@@ -166,15 +271,12 @@ def resolve(state: State, only: DataFrame | None = None, fuzzy: bool = True) ->
 
 def _saved(state: State, touched: DataFrame) -> State:
     """The people that were touched resolved anew; others stay as they were, whatever their sources weigh now."""
-    new = resolve(state, touched)
-    if state.people is not None:
-        new = state.people.join(touched, "candidate_id", "left_anti").select(new.columns).unionByName(new)
-    return replace(state, people=written(new, "people"))
+    return _added(state, "people", "candidate_id", resolve(state, touched))
 
 
 def reindex(state: State, threshold: float | None = None) -> State:
     state = replace(state, threshold=threshold if threshold is not None else state.threshold)
-    return replace(state, people=written(resolve(state), "people"))
+    return replace(state, parts=state.parts | {"people": Parts("candidate_id", (_put(state, resolve(state), "people"),))})
 
 
 def winner_source(people: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -187,21 +289,22 @@ def winner_source(people: DataFrame, corrections: DataFrame) -> DataFrame:
 
 def correct(state: State, corrections: DataFrame) -> State:
     """The state with corrections (candidate_id, field, value, seq): the latest of a field counts, and who was overruled loses weight everywhere."""
-    displaced = written(state.displaced.unionByName(winner_source(state.people, corrections)), "displaced")
-    new = replace(state, corrections=written(state.corrections.unionByName(corrections.select(state.corrections.columns)), "corrections"), displaced=displaced)
-    return reindex(new) if displaced.count() > state.displaced.count() else _saved(new, corrections.select("candidate_id").distinct())
+    overruled = written(winner_source(state.people, corrections), "overruled")
+    new = replace(state, corrections=_put(state, state.corrections.unionByName(corrections.select(state.corrections.columns)), "corrections"), displaced=_put(state, state.displaced.unionByName(overruled), "displaced"))
+    return _saved(new, corrections.select("candidate_id").distinct()) if overruled.isEmpty() else reindex(new)
 
 
 def review(state: State, ids: DataFrame) -> State:
     """A person who was signed off stays so, whatever comes in."""
-    return _saved(replace(state, reviewed=written(state.reviewed.unionByName(ids.select("candidate_id")).distinct(), "reviewed")), ids.select("candidate_id"))
+    return _saved(replace(state, reviewed=_put(state, state.reviewed.unionByName(ids.select("candidate_id")).distinct(), "reviewed")), ids.select("candidate_id").distinct())
 
 
 def delete(state: State, ids: DataFrame) -> State:
     """Forgets people. What their sources lost in weight stays lost."""
-    without = lambda df: written(df.join(ids, "candidate_id", "left_anti").select(df.columns), "store")
-    return replace(state, records=without(state.records), reviewed=without(state.reviewed), corrections=without(state.corrections), people=without(state.people))
+    without = lambda df, name: _put(state, df.join(ids, "candidate_id", "left_anti").select(df.columns), name)
+    parts = {name: Parts(x.key, (without(x.whole(), name),)) for name, x in state.parts.items()}
+    return replace(state, parts=parts, reviewed=without(state.reviewed, "reviewed"), corrections=without(state.corrections, "corrections"))
 
 
 def calibrated(state: State) -> DataFrame:
-    return calibration.report(state.records.sparkSession, state.displaced, state.records)
+    return calibration.report(state.spark, state.displaced, state.records)

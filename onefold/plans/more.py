@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from onefold.operators import calibration, store
 from onefold.plans import derived, oracle
 from onefold.plans.queries import people, query, stored
+from onefold.scratch import scratch_path
 from onefold.sources import lookup, proposals, text
 from onefold.streaming import ingest
 
@@ -203,10 +204,8 @@ def stream_ingest(spark, sf_dir):
         return _first(spark, sf_dir)
 
     path = stored(spark, sf_dir, "arrivals", records).inputFiles()[0].rsplit("/", 1)[0]
-    sink = ingest.Sink(store.empty(spark))
+    sink = ingest.Sink(spark, scratch_path(spark, "store"))
     stream = spark.readStream.schema(records().schema).parquet(path)
-    from onefold.scratch import scratch_path
-
     ingest.start(stream, sink, scratch_path(spark, "stream")).awaitTermination()
     return sink.state.records.groupBy("source").agg(F.count("*").alias("n"))
 
@@ -219,9 +218,7 @@ def stream_ingest_all(spark, sf_dir):
         return derived.records(spark, sf_dir).repartition(3)
 
     path = stored(spark, sf_dir, "all_arrivals", records).inputFiles()[0].rsplit("/", 1)[0]
-    sink = ingest.Sink(store.empty(spark))
+    sink = ingest.Sink(spark, scratch_path(spark, "store"))
     stream = spark.readStream.schema(records().schema).option("maxFilesPerTrigger", 1).parquet(path)
-    from onefold.scratch import scratch_path
-
     ingest.start(stream, sink, scratch_path(spark, "stream")).awaitTermination()
     return sink.state.records.groupBy("source").agg(F.count("*").alias("n"))

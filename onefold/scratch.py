@@ -16,6 +16,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     if not (found := spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="onefold-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -26,19 +28,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a scratch Parquet table, read back. It survives lost executors and is computed once.
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """`df` as a Parquet table in the scratch folder, or in `folder`, read back. It survives lost executors and is computed once.
 
     The shuffle files that it took are deleted when it is written.
     """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else scratch_path(spark, name)
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._onefold_path = path
+    return found
 
 
 def dropped(spark: SparkSession, path: str) -> None:

@@ -1,27 +1,37 @@
 """Streams of records into a store, a micro-batch at a time.
 
-A batch that is replayed after a failure changes nothing, as its records are known by their hashes.
+Every batch makes a version of the store, which also tells which batches it has, and the next batch begins with the latest
+version. So a stream that is stopped, or fails, goes on from its checkpoint with all that came before; a batch that is
+replayed is passed over, and records that come again in another stream are known by their hashes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from onefold.operators import store
 
 
 class Sink:
-    """Holds the state that the batches of a stream make of a store."""
+    """The store below `root`, as the batches of a stream make it."""
+
+    def __init__(self, spark: SparkSession, root: str, origin: str | None = None):
+        self.spark, self.root, self.origin = spark, root, origin
 
-    def __init__(self, state: store.State, origin: str | None = None):
-        self.state, self.origin = state, origin
+    @property
+    def state(self) -> store.State:
+        return store.load(self.spark, self.root)
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            self.state = store.ingest(self.state, batch, self.origin)
+    def take(self, stream: str, batch: DataFrame, batch_id: int) -> None:
+        state = self.state
+        if state.streams.get(stream, -1) < batch_id and not batch.isEmpty():
+            state = store.ingest(state, batch, self.origin)
+            store.save(replace(state, streams=state.streams | {stream: batch_id}))
 
 
 def start(records: DataFrame, sink: Sink, checkpoint: str) -> StreamingQuery:
-    """A query that takes what there is of a stream of records (model.RECORD) and stops."""
-    return records.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """A query that takes what there is of a stream of records (model.RECORD) and stops. A stream is known by its checkpoint."""
+    return records.writeStream.foreachBatch(lambda batch, batch_id: sink.take(checkpoint, batch, batch_id)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

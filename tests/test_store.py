@@ -77,8 +77,58 @@ def test_origin_replaces_in_place(spark, some):
 
 def test_a_stream_is_the_same_as_a_batch(spark, some, tmp_path):
     some.repartition(2).write.parquet(f"{tmp_path}/in")
-    sink = ingest.Sink(store.empty(spark))
+    sink = ingest.Sink(spark, f"file://{tmp_path}/store")
     stream = lambda: spark.readStream.schema(some.schema).parquet(f"{tmp_path}/in")
     for _ in range(2):  # what comes again, with a new checkpoint, changes nothing
         ingest.start(stream(), sink, scratch_path(spark, "stream")).awaitTermination()
         assert members(sink.state) == {"jane@x.com": 2, "sam-lee": 2}
+
+
+def test_a_stream_goes_on_after_a_restart(spark, some, tmp_path):
+    """Records come two by two; each time the stream starts anew on its checkpoint, and a sink knows nothing but the store's root."""
+    at = scratch_path(spark, "stream")
+    for these in ("ord = 1 or ord = 3", "ord = 2 or ord = 4"):
+        some.where(these).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(some.schema).parquet(f"{tmp_path}/in")
+        ingest.start(stream, ingest.Sink(spark, f"file://{tmp_path}/store"), at).awaitTermination()
+    found = store.load(spark, f"file://{tmp_path}/store")
+    once = store.ingest(store.empty(spark), some)
+    assert members(found) == members(once) == {"jane@x.com": 2, "sam-lee": 2}
+    columns = ["candidate_id", "full_name", "emails", "phones", "overall_confidence", "status"]
+    assert sorted(found.people.select(columns).collect()) == sorted(once.people.select(columns).collect())
+    ingest.Sink(spark, f"file://{tmp_path}/store").take(at, some.withColumn("headline", some["source"]), 0)  # a replayed batch
+    assert members(store.load(spark, f"file://{tmp_path}/store")) == members(once)
+
+
+def test_versions_and_parts(spark, frame, monkeypatch, tmp_path):
+    monkeypatch.setattr(store, "PARTS", 2)
+    root = f"file://{tmp_path}/store"
+    state = store.load(spark, root)
+    assert state.people is None and state.records.isEmpty()
+    for ord in range(3):  # more than PARTS, so that parts are merged
+        state = store.ingest(state, frame({"ord": 1, "source": "resume", "method": "regex", "full_name": "Jane Doe", "emails": ["jane@x.com"], "headline": f"No. {ord}"}))
+        assert store.save(state) == ord + 1
+    assert members(store.load(spark, root)) == {"jane@x.com": 3} and members(store.load(spark, root, 2)) == {"jane@x.com": 2}
+    assert store.load(spark, root).people.count() == 1 and len(state.parts["records"].frames) <= store.PARTS
+    with pytest.raises(Exception, match="FileAlreadyExists|exists"):  # another writer was first
+        store.Versions(spark, root).commit(3, {})
+    state = store.review(store.load(spark, root), spark.createDataFrame([("jane@x.com",)], "candidate_id string"))
+    store.save(state)
+    assert store.load(spark, root).people.first().status == "reviewed"
+
+
+def test_numbers_of_batches_may_be_the_same(spark, frame):
+    """ord tells records of one batch apart, not those of two."""
+    state = store.ingest(store.empty(spark), frame({"ord": 1, "source": "ats_json", "method": "field_map", "emails": ["a@x.com"]}))
+    state = store.ingest(state, frame({"ord": 1, "source": "ats_json", "method": "field_map", "emails": ["b@x.com"]}))
+    state = store.ingest(state, frame({"ord": 1, "source": "resume", "method": "regex", "emails": ["b@x.com"], "headline": "x"}))
+    assert members(state) == {"a@x.com": 1, "b@x.com": 2}
+
+
+def test_stale_keys_link_no_more(spark, frame):
+    rows = frame({"ord": 1, "source": "ats_json", "method": "field_map", "emails": ["old@x.com"]})
+    state = store.ingest(store.empty(spark), rows.withColumn("from", rows["source"]), "from")
+    rows = frame({"ord": 1, "source": "ats_json", "method": "field_map", "emails": ["new@x.com"]})
+    state = store.ingest(state, rows.withColumn("from", rows["source"]), "from")
+    state = store.ingest(state, frame({"ord": 2, "source": "resume", "method": "regex", "emails": ["old@x.com"]}, {"ord": 3, "source": "resume", "method": "regex", "emails": ["new@x.com"]}))
+    assert sorted(members(state).values()) == [1, 2]
