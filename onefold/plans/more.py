@@ -121,8 +121,7 @@ def idempotent_ingest(spark, sf_dir):
 
 @query("SELECT 'email' AS key_type, email AS key_value, 1::BIGINT AS n_people FROM (SELECT DISTINCT email FROM n WHERE source IN ('ats_json', 'recruiter_notes') AND email IS NOT NULL)")
 def incremental_link(spark, sf_dir):
-    state = _state(spark, sf_dir)
-    keys = store.identity_keys(store.normalized(state.records, fuzzy=False)).join(state.records.select("ord", "candidate_id"), "ord").where("key_type = 'email'")
+    keys = _state(spark, sf_dir).keys.where("key_type = 'email'")
     return keys.groupBy("key_type", "key_value").agg(F.countDistinct("candidate_id").alias("n_people"))
 
 
@@ -140,9 +139,7 @@ def incremental_candidates(spark, sf_dir):
 
 @query()
 def incremental_link_all(spark, sf_dir):
-    records = _whole(spark, sf_dir).records
-    keys = store.identity_keys(store.normalized(records, fuzzy=False)).join(records.select("ord", "candidate_id"), "ord")
-    return keys.groupBy("key_type", "key_value").agg(F.countDistinct("candidate_id").alias("n_people"))
+    return _whole(spark, sf_dir).keys.groupBy("key_type", "key_value").agg(F.countDistinct("candidate_id").alias("n_people"))
 
 
 @query()
