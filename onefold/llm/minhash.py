@@ -31,8 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 5
 #: Pairs whose registers agree less than the similarity by so many standard deviations are not compared exactly: 5 in a million.
 DEVIATIONS = 4.4
-#: Bytes of the texts of a block, about.
-BLOCK = 4 << 20
+#: Bytes of the texts of a block, about, and its texts.
+BLOCK, BLOCK_TEXTS = 4 << 20, 1024
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     split = common.written(split, "split")
     left = known.join(split, "hub").join(registers.select("doc_id", "registers"), "doc_id").join(texts, "doc_id")
     left = common.written(left, "left")
-    blocks = left.groupBy("hub").agg(F.ceil(F.sum(F.octet_length("text")) / BLOCK).cast("int").alias("blocks"))
+    blocks = left.groupBy("hub").agg(F.greatest(F.ceil(F.sum(F.octet_length("text")) / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
     blocks = common.written(blocks, "blocks")  # so that a hub with very many texts isn't dealt to one task for the join
     left = left.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "component", "registers", "text")
