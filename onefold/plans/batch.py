@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onefold.model import REVIEW_THRESHOLD
@@ -16,7 +16,7 @@ from onefold.scratch import written
 
 
 def listed(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
-    """(kind, path) of what lies in a folder, by name: notes, resumes, csv or ats. Files of other kinds are passed over; no folder, nothing."""
+    """(kind, path) of what lies in a folder, by name: notes, resumes, docx, csv or ats. Files of other kinds are passed over; no folder, nothing."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(at):
@@ -26,10 +26,13 @@ def listed(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
         path, name = entry.getPath(), entry.getPath().getName().lower()
         if entry.isDirectory():
             kind = "notes" if name in ("notes", "recruiter_notes") else "resumes" if name in ("resumes", "resume") else None
-            inside = [x.getPath() for x in sorted(fs.listStatus(path), key=lambda e: e.getPath().getName()) if x.getPath().getName().lower().endswith(".txt")] if kind else []
-            out += [(kind, x.toString()) for x in inside]
-        elif name.endswith(".csv"):
-            out.append(("csv", path.toString()))
+            for inside in sorted((x.getPath() for x in fs.listStatus(path)), key=lambda p: p.getName()) if kind else []:
+                if inside.getName().lower().endswith(".txt"):
+                    out.append((kind, inside.toString()))
+                elif kind == "resumes" and inside.getName().lower().endswith(".docx"):
+                    out.append(("docx", inside.toString()))
+        elif name.endswith((".csv", ".docx")):
+            out.append((name.rsplit(".", 1)[1], path.toString()))
         elif name.endswith(".json") and "config" not in name:
             out.append(("ats", path.toString()))
         elif name.endswith(".txt"):
@@ -39,7 +42,7 @@ def listed(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
 
 def read(spark: SparkSession, folder: str) -> DataFrame | None:
     """The records of a folder, in the order of names, then of places in a file. A source that can't be read gives none."""
-    readers = {"csv": csv.read, "ats": ats.read, "notes": text.read_notes, "resumes": text.read_resumes}
+    readers = {"csv": csv.read, "ats": ats.read, "notes": text.read_notes, "resumes": text.read_resumes, "docx": text.read_docx}
     files: dict[str, list[str]] = {}
     for kind, path in listed(spark, folder):
         files.setdefault(kind, []).append(path)
@@ -75,11 +78,16 @@ def run(spark: SparkSession, folder: str, config: dict | None = None, **options)
     return {"profiles": profiles, "errors": errors, "people": found, "trust": trust.rollup(found)}
 
 
-def report(people: DataFrame) -> DataFrame:
-    """The trust report of each person, with the explanation of every field that has one."""
+def reporting() -> list[Column | str]:
+    """What the trust report of a person tells besides their id, with the explanation of every field that has one."""
     told = [f for f in ("full_name", "headline", "years_experience", "emails", "phones")]
     explain = F.struct(*[F.when(F.col(f"reason_{f}").isNotNull(), F.struct(F.col(f).alias("chosen"), F.col(f"c_{f}").alias("confidence"), F.col(f"considered_{f}").alias("considered"), F.col(f"reason_{f}").alias("reason"))).alias(f) for f in told])
-    return people.select("candidate_id", "overall_confidence", "completeness", "conflicts", "low_confidence_fields", "anomalies", "flags", "needs_review", "review_reasons", explain.alias("explain"))
+    return ["overall_confidence", "completeness", "conflicts", "low_confidence_fields", "anomalies", "flags", "needs_review", "review_reasons", explain.alias("explain")]
+
+
+def report(people: DataFrame) -> DataFrame:
+    """The trust report of each person."""
+    return people.select("candidate_id", *reporting())
 
 
 def save(found: dict[str, DataFrame], folder: str) -> None:

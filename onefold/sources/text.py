@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from onefold.functions import skills
 from onefold.functions.text import clean, trimmed
+from onefold.sources import docx
 from onefold.sources.common import lines_of, record, texts
 
 #: Patterns of what texts hold.
@@ -192,5 +193,10 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:
-    """Resumes whose text was extracted to .txt files; extraction from PDF and DOCX needs libraries that aren't here."""
+    """Resumes whose text was extracted to .txt files, as that of PDF must be, for which no library is here."""
     return resumes(texts(spark, path).withColumn("at", F.lit(0)), ["path", "at"])
+
+
+def read_docx(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Resumes in DOCX files; links of a document come before those its text shows."""
+    return resumes(docx.texts(spark, path).withColumn("at", F.lit(0)), ["path", "at"], urls=F.col("urls"))
