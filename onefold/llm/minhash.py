@@ -182,15 +182,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compared(least), "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, copy_of, linked_to, similarity, n_words) for every row of `docs` (doc_id, text).
-
-    class_id is the least doc_id that links of `similarity` or more lead to; copy_of is the least doc_id of the rows
-    with the same words; linked_to and similarity are the most similar text (of least doc_id) that was compared with this one's
-    first copy, where its class has other texts. A text without words is a class of its own, as is a row with a null doc_id (its
-    class_id is null). Rows with one doc_id are one node, whatever their texts. Other columns are ignored, whatever their names; an empty
-    table gives no rows.
-    """
+def _linked(docs: DataFrame, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Written tables: digests of every row, copies and their firsts, links between different texts, and (node, component) of all that is linked."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
     docs = docs.withColumn("k", F.xxhash64("text"))  # tells apart rows with one doc_id
     digests = common.written(docs.mapInArrow(_digests, "doc_id long, k long, n_words long, h1 long, h2 long"), "digests")
@@ -228,18 +221,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     links = links.unionByName(common.written(more, "links"))
     classes = components(links.select("a", "b").unionByName(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))), "a", "b")
 
+    return digests, copies, links, classes
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, class_id, copy_of, linked_to, similarity, n_words) for every row of `docs` (doc_id, text).
+
+    class_id is the least doc_id that links of `similarity` or more lead to; copy_of is the least doc_id of the rows
+    with the same words; linked_to and similarity are the most similar text (of least doc_id) that was compared with this one's
+    first copy, where its class has other texts. A text without words is a class of its own, as is a row with a null doc_id (its
+    class_id is null). Rows with one doc_id are one node, whatever their texts. Other columns are ignored, whatever their names; an empty
+    table gives no rows.
+    """
+    digests, copies, links, classes = _linked(docs, similarity, bands, rows)
     ends = links.select("a", "b", "similarity").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    best = ends.groupBy("a").agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("linked_to"), F.max("similarity").alias("similarity"))
+    best = common.written(ends.groupBy("a").agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("linked_to"), F.max("similarity").alias("similarity")), "best")  # so that Spark can split the join of a first copy with very many others
     out = digests.select("doc_id", "k", "n_words").join(copies, ["doc_id", "k"], "left").select("doc_id", "n_words", F.coalesce("first", "doc_id").alias("copy_of"))
     out = out.join(best, out["copy_of"] == best["a"], "left")
     return out.join(classes, out["doc_id"] == classes["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), "copy_of", "linked_to", "similarity", "n_words")
 
 
-def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of `docs` that are the least doc_id of their class, all columns as they were.
 
     Rows with a null doc_id stay, texts without words too; of rows with one doc_id all stay or go; an empty table stays empty. No
     column is added, so none can clash.
     """
-    gone = near_duplicates(docs, **parameters).where("doc_id > class_id").select("doc_id").distinct()
+    *_, classes = _linked(docs, similarity, bands, rows)
+    gone = classes.where("node > component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
