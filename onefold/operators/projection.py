@@ -110,7 +110,7 @@ def parted(view: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def violations(people: DataFrame) -> Column:
-    """What breaks the canonical schema: no id, no name, or dates that are neither YYYY nor YYYY-MM."""
+    """What breaks the canonical schema: no id, or dates of jobs that are neither YYYY nor YYYY-MM."""
     wrong = lambda d: d.isNotNull() & ~d.rlike("^[0-9]{4}(-[0-9]{2})?$")
     tests = (("candidate_id", F.col("candidate_id").isNull()), ("experience", F.exists("experience", lambda e: reduce(lambda x, y: x | y, (wrong(e["start"]), wrong(e["end"]))))))
     return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in tests]))

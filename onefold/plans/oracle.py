@@ -8,10 +8,10 @@ from onefold.plans.derived import flat_sql
 SCALARS = ("full_name", "headline", "years_experience")
 
 
-def r4(x: str) -> str:
-    """Exact rounding at the fourth place, halves to even, of a double that is not negative."""
+def r4(x: str, k: int = 10_000) -> str:
+    """Exact rounding at the fourth place (or that of 1 / k), halves to even, of a double that is not negative."""
     high = "(134217729::DOUBLE * v - (134217729::DOUBLE * v - v))"
-    q, k = "(v * 10000::DOUBLE)", "10000::DOUBLE"
+    q, k = f"(v * {k}::DOUBLE)", f"{k}::DOUBLE"
     over = f"(({q} - floor({q}) - 0.5::DOUBLE) + (({high} * {k} - {q}) + (v - {high}) * {k}))"
     return f"list_transform([({x})::DOUBLE], lambda v: CASE WHEN {over} > 0 THEN floor({q}) + 1 WHEN {over} < 0 THEN floor({q}) WHEN floor({q}) % 2 = 0 THEN floor({q}) ELSE floor({q}) + 1 END / {k})[1]"
 

@@ -240,10 +240,15 @@ def review_queue(spark, sf_dir):
     return people(spark, sf_dir).where("needs_review").select("candidate_id", "overall_confidence")
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (reasons = '') AS accepted, count(*) FILTER (reasons <> '') AS needs_review, CAST(sum(n_anomalies) AS BIGINT) AS anomalies, round(avg(overall_confidence), 2) AS avg_confidence, round(avg(completeness), 2) AS avg_completeness FROM t")
+def _means(k: int) -> str:
+    """Averages of all of t, of values of four places summed as whole numbers."""
+    total = "sum(CAST(round({} * 10000) AS BIGINT)) / 10000::DOUBLE / greatest(1, count(*))"
+    return ", ".join(f"{oracle.r4(f'coalesce({total.format(x)}, 0)', k)} AS {name}" for x, name in (("overall_confidence", "avg_confidence"), ("completeness", "avg_completeness")))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (reasons = '') AS accepted, count(*) FILTER (reasons <> '') AS needs_review, CAST(coalesce(sum(n_anomalies), 0) AS BIGINT) AS anomalies, {_means(10_000)} FROM t")
 def batch_rollup(spark, sf_dir):
-    found = trust.rollup(people(spark, sf_dir))
-    return found.withColumns({x: F.round(x, 2) for x in ("avg_confidence", "avg_completeness")})
+    return trust.rollup(people(spark, sf_dir))
 
 
 @query("SELECT field, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field FROM t WHERE conflict_{f}" for f in oracle.SCALARS) + ") GROUP BY field")
@@ -308,6 +313,15 @@ def validate_violations(spark, sf_dir):
     return p.select("candidate_id", F.size(projection.violations(p)).cast("long").alias("n_violations"))
 
 
+@query("SELECT cluster_id, concat_ws(',', CASE WHEN cluster_id % 3 = 0 THEN 'candidate_id' END, CASE WHEN cluster_id % 5 = 0 AND n_jobs > 0 THEN 'experience' END) AS violations FROM t")
+def validate_planted(spark, sf_dir):
+    """As above, where every third person has lost the id and every fifth has jobs that began soon."""
+    p = people(spark, sf_dir)
+    broken = F.transform("experience", lambda e: e.withField("start", F.lit("soon")))
+    p = p.withColumn("candidate_id", F.when(F.col("cluster_id") % 3 != 0, F.col("candidate_id"))).withColumn("experience", F.when(F.col("cluster_id") % 5 == 0, broken).otherwise(F.col("experience")))
+    return p.select("cluster_id", F.array_join(projection.violations(p), ",").alias("violations"))
+
+
 # the console
 
 
@@ -318,12 +332,12 @@ def inbox(spark, sf_dir):
     return rows(people(spark, sf_dir))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (reasons = '') AS accepted, count(*) FILTER (reasons <> '') AS needs_review, count(*) FILTER (conflict_full_name OR conflict_headline OR conflict_years_experience) AS with_conflicts FROM t")
+@query(f"SELECT count(*) AS total, count(*) FILTER (reasons = '') AS accepted, count(*) FILTER (reasons <> '') AS needs_review, 0::BIGINT AS reviewed, count(*) FILTER (conflict_full_name OR conflict_headline OR conflict_years_experience) AS with_conflicts, {_means(1_000)} FROM t")
 def dashboard_summary(spark, sf_dir):
     from onefold.operators.console import inbox as rows
     from onefold.operators.console import summary
 
-    return summary(rows(people(spark, sf_dir))).select("total", "accepted", "needs_review", "with_conflicts")
+    return summary(rows(people(spark, sf_dir)))
 
 
 @query("SELECT candidate_id, CASE WHEN overall_confidence >= 0.85 THEN 'high' WHEN overall_confidence >= 0.6 THEN 'mid' ELSE 'low' END AS band, CAST(trunc(overall_confidence * 100::DOUBLE) AS INTEGER) AS percent FROM t")
