@@ -82,14 +82,12 @@ class Latest:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def known(self, texts: set[str]) -> dict[str, bytes]:
-        new, old = self.new, self.old
-        return {x: ids for x in texts if (ids := new.get(x) or old.get(x)) is not None}
-
     def keep(self, found: dict[str, bytes]) -> None:
         if len(self.new) + len(found) > KEPT:
             self.old, self.new = self.new, {}
-        self.new.update((x, ids) for x, ids in found.items() if len(x) <= KEPT_CHARS)
+        if max(map(len, found), default=0) > KEPT_CHARS:
+            found = {x: ids for x, ids in found.items() if len(x) <= KEPT_CHARS}
+        self.new.update(found)
 
 
 class WordBPE:
@@ -122,37 +120,50 @@ class WordBPE:
     def _library(self, text: str, tokenizer: Tokenizer | None = None) -> bytes:
         return np.array((tokenizer or self.plain).encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one pre-token, given to the library's model as its bytes' characters."""
-        tokens = self.plain.model.tokenize(word.encode().decode("latin-1").translate(self.chars))
-        return array(self.code, [token.id for token in tokens]).tobytes()
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens, each given to the library's model as its bytes' characters."""
+        every = "".join(words)
+        chars = every.encode().decode("latin-1").translate(self.chars)
+        sizes = map(len, words) if len(chars) == len(every) else [len(word.encode()) for word in words]
+        tokenize, ids, ends, at = self.plain.model.tokenize, [], [], 0
+        for size in sizes:
+            ids += [token.id for token in tokenize(chars[at : at + size])]
+            ends.append(len(ids))
+            at += size
+        packed, width = array(self.code, ids).tobytes(), self.dtype.itemsize
+        return {word: packed[a * width : b * width] for word, a, b in zip(words, [0, *ends], ends, strict=False)}
 
     def _words(self, text: str) -> tuple[list[str], dict[str, bytes]]:
         """The pre-tokens of a text, and the ids of each."""
         words = self.split(text)
         every = set(words)
-        found = self.words.known(every)
-        found |= {word: self._word(word) for word in every - found.keys()}
-        self.words.keep(found)
+        new = self.words.new.get
+        found = {word: ids for word in every if (ids := new(word)) is not None}
+        if len(found) < len(every):
+            old = self.words.old.get
+            again = {word: ids for word in every - found.keys() if (ids := old(word)) is not None}
+            again |= self._fresh([word for word in every if word not in found and word not in again])
+            self.words.keep(again)
+            found |= again
         return words, found
 
     def _together(self, pieces: list[str]) -> list[bytes]:
         """Ids of a space and each of the pieces, none of which begins with white space."""
         words, found = self._words(" " + " ".join(pieces))
-        ends = np.cumsum([len(word) for word in words])
-        want = np.cumsum([len(piece) + 1 for piece in pieces])
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        want = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
         at = np.searchsorted(ends, want) + 1
         if (ends[at - 1] != want).any():
             raise RuntimeError("a pre-token crosses a space that begins one")
-        at = at.tolist()
-        return [b"".join([found[word] for word in words[a:b]]) for a, b in zip([0, *at], at, strict=False)]
+        at, ids = at.tolist(), list(map(found.__getitem__, words))
+        return [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip([0, *at], at, strict=False)]
 
     def _learned(self, new: set[str]) -> dict[str, bytes]:
         """The ids of pieces that aren't among the latest ones. A piece that begins with a NUL and a space is the rest of it, at a text's begin."""
         found = {piece: ids for piece in new if (ids := self.pieces.old.get(piece)) is not None}
         rest, size = [], 0
         for piece in new - found.keys():
-            if piece[:2] == "\0 " or not piece:
+            if not piece or (piece[0] == "\0" and piece[1:2] == " "):
                 words, ids = self._words(piece[2:] if piece else " ")
                 found[piece] = b"".join([ids[word] for word in words])
                 continue
@@ -184,15 +195,18 @@ class WordBPE:
         for i, pieces in cut:
             pieces[0] = "\0 " + pieces[0]  # no space is before it
             found = list(map(known, pieces))
-            if None in found:
-                new.update(piece for piece, ids in zip(pieces, found, strict=True) if ids is None)
-                left.append((i, pieces, found))
+            missing = [at for at, ids in enumerate(found) if ids is None] if None in found else []
+            if missing:
+                new.update([pieces[at] for at in missing])
+                left.append((i, pieces, found, missing))
             else:
                 out[i] = b"".join(found)
         if new:
             learned = self._learned(new)
-            for i, pieces, found in left:
-                out[i] = b"".join([learned[piece] if ids is None else ids for piece, ids in zip(pieces, found, strict=True)])
+            for i, pieces, found, missing in left:
+                for at in missing:
+                    found[at] = learned[pieces[at]]
+                out[i] = b"".join(found)
         return out
 
     def encode_one(self, text: str) -> bytes:
