@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from onefold.functions.text import table, trimmed
+from onefold.functions.text import once, table, trimmed
 
 #: Names of skills and other ways to write them.
 SKILLS = {
@@ -123,7 +123,6 @@ def skills(c: Column, fuzzy: bool = True) -> Column:
 
 def mentioned(text: Column) -> Column:
     """Aliases that stand by themselves in a text, in the order of ALIASES."""
-    low = F.lower(text)
     escaped = lambda alias: "".join(ch if ch.isalnum() or ch == " " else f"\\{ch}" for ch in alias)
-    alone = lambda alias: low.contains(alias) & low.rlike(f"(?<![a-z0-9]){escaped(alias)}(?![a-z0-9])")
-    return F.array_compact(F.array(*[F.when(alone(alias), F.lit(alias)) for alias in ALIASES]))
+    alone = lambda low, alias: low.contains(alias) & low.rlike(f"(?<![a-z0-9]){escaped(alias)}(?![a-z0-9])")
+    return once(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(alone(low, alias), F.lit(alias)) for alias in ALIASES])))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onefold.functions import skills
-from onefold.functions.text import clean, trimmed
+from onefold.functions.text import clean, once, trimmed
 from onefold.sources import docx
 from onefold.sources.common import lines_of, record, texts
 
@@ -69,7 +69,7 @@ def _basics(text: Column, portfolio: bool = False) -> dict[str, Column]:
 
 
 def _filled(values: Column) -> Column:
-    return F.when(F.size(values) > 0, values)
+    return once(values, lambda v: F.when(F.size(v) > 0, v))
 
 
 def notes(rows: DataFrame, place: list[str], column: str = "text") -> DataFrame:
@@ -87,19 +87,21 @@ def _key(line: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """A known heading, or at most three words and thirty characters in capitals."""
-    raw = trimmed(line)
-    return _key(line).isin(*HEADINGS) | ((raw != "") & (F.upper(raw) == raw) & (F.size(F.split(raw, r"\s+")) <= 3) & (F.length(raw) <= 30) & raw.rlike(r"\p{L}"))
+    loud = lambda raw: (raw != "") & (F.upper(raw) == raw) & (F.size(F.split(raw, r"\s+")) <= 3) & (F.length(raw) <= 30) & raw.rlike(r"\p{L}")
+    return once(trimmed(line), lambda raw: F.regexp_replace(F.lower(raw), ":+$", "").isin(*HEADINGS) | loud(raw))
 
 
 def section(lines: Column, *names: str) -> Column:
     """The lines below the first heading of these names, to the next heading, trimmed, without blank ones."""
-    keys = F.transform(lines, _key)
-    starts = F.filter(F.transform(keys, lambda k, i: F.when(k.isin(*[n.lower() for n in names]), i)), lambda i: i.isNotNull())
-    start = F.get(starts, F.lit(0))
-    stops = F.filter(F.transform(lines, lambda x, i: F.when((i > start) & is_heading(x), i)), lambda i: i.isNotNull())
-    end = F.coalesce(F.get(stops, F.lit(0)), F.size(lines))
-    inside = F.slice(lines, start + 2, F.greatest(end - start - 1, F.lit(0)))
-    return F.when(start.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(inside, trimmed), lambda x: x != ""))
+    place = lambda tests: F.array_position(tests, F.lit(True)).cast("int")
+
+    def inside(rest: Column) -> Column:
+        upto = once(place(F.transform(rest, is_heading)), lambda stop: F.slice(rest, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size(rest))))
+        return F.filter(F.transform(upto, trimmed), lambda x: x != "")
+
+    start = place(F.transform(lines, lambda x: _key(x).isin(*[n.lower() for n in names])))
+    # each step is computed once for a text, not once for each of its lines
+    return once(start, lambda at: F.when(at > 0, once(F.slice(lines, at + 1, F.size(lines)), inside)).otherwise(F.array().cast("array<string>")))
 
 
 def _plain(lines: Column) -> Column:
@@ -116,9 +118,8 @@ def skills_of(lines: Column, text: Column) -> Column:
         return F.filter(parts, lambda t: (t != "") & (F.length(t) <= 40) & t.rlike("[A-Za-z]"))
 
     listed = F.flatten(F.transform(section(lines, "Technical Skills", "Skills"), tokens))
-    said = F.concat(listed, skills.mentioned(text))
-    lower = F.transform(said, F.lower)
-    return F.filter(said, lambda s, i: F.array_position(lower, F.lower(s)) == i + 1)
+    first = lambda said, lower: F.filter(said, lambda s, i: F.array_position(lower, F.get(lower, i)) == i + 1)
+    return once(F.concat(listed, skills.mentioned(text)), lambda said: once(F.transform(said, F.lower), lambda lower: first(said, lower)))
 
 
 def jobs(lines: Column) -> Column:
@@ -138,11 +139,9 @@ def jobs(lines: Column) -> Column:
 
 def studies(lines: Column) -> Column:
     """"Degree in Field, Institution, Year", or a line with a degree or bars; a year of the section stands in for a missing one."""
-    inside = section(lines, "Education")
-    some_year = found(F.concat_ws(" ", inside), YEAR)
     none = F.lit(None).cast("string")
 
-    def study(line: Column) -> Column:
+    def study(line: Column, some_year: Column) -> Column:
         degree = trimmed(F.regexp_extract(line, STUDY, 1))
         has_field = degree.contains(" in ")
         strict = F.struct(
@@ -160,7 +159,8 @@ def studies(lines: Column) -> Column:
         loose = F.struct(trimmed(F.substring_index(school, ",", 1)).alias("institution"), token.alias("degree"), F.when(token.isNotNull() & (after != ""), after).alias("field"), F.coalesce(found(line, YEAR), some_year).alias("end_year"))
         return F.when(line.rlike(STUDY), strict).when(line.rlike(DEGREE) | line.contains("|"), loose)
 
-    return F.array_compact(F.transform(_plain(inside), study))
+    every = lambda inside: once(found(F.concat_ws(" ", inside), YEAR), lambda year: F.transform(_plain(inside), lambda line: study(line, year)))
+    return F.array_compact(once(section(lines, "Education"), every))
 
 
 def folded(text: Column) -> Column:
@@ -169,8 +169,8 @@ def folded(text: Column) -> Column:
 
 def resumes(rows: DataFrame, place: list[str], column: str = "text", urls: Column | None = None) -> DataFrame:
     """A record of each resume's text. Links of the document (`urls`) come before those its text shows."""
-    text = folded(F.col(column))
-    lines = lines_of(text)
+    rows = rows.withColumn("_folded", folded(F.col(column))).withColumn("_lines", lines_of(F.col("_folded")))
+    text, lines = F.col("_folded"), F.col("_lines")
     fields = _basics(text, portfolio=True)
     if urls is not None:
         of, own = fields["links"], links_of(urls)
