@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onefold.scratch import written
+from onefold.scratch import joined, written
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -19,16 +19,16 @@ def _stars(links: DataFrame) -> DataFrame:
     both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
     # written, so that the joins below have a plain shuffle on either side, whose large partitions Spark can split
     least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-    large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+    large = written(joined(both.where("v > u"), least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
     near = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "near")
-    hung = large.join(near, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    hung = joined(large, near, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return hung.unionByName(near.select("hi", F.col("m").alias("lo"))).distinct()
 
 
 def _settled(links: DataFrame) -> bool:
     """Whether every node hangs on one other, which itself hangs on none."""
     found = links.agg(F.count("*").alias("links"), F.countDistinct("hi").alias("nodes")).first()
-    return found.links == found.nodes and links.join(links.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty()
+    return found.links == found.nodes and joined(links, links.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty()
 
 
 def components(links: DataFrame, left: str, right: str, rounds: int = 60) -> DataFrame:

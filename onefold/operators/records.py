@@ -9,7 +9,7 @@ from onefold.functions import contact, dates, places, skills
 from onefold.functions.text import clean, rounded, table
 from onefold.model import FIELD_SOURCE_WEIGHT, METHOD_CERTAINTY, PRIORITY, SOURCE_WEIGHT, UNKNOWN_METHOD, UNKNOWN_SOURCE
 from onefold.operators.components import components
-from onefold.scratch import written
+from onefold.scratch import joined, written
 
 
 def _mapped(values: dict[str, float], key: Column, default: float) -> Column:
@@ -66,17 +66,17 @@ def links(keys: DataFrame) -> DataFrame:
     """(a, b): records to be linked. Each strong key links its records to the first; a name links only records without strong keys to its first record, if that has none either."""
     strong = keys.where("key_type <> 'name'")
     firsts = strong.groupBy("key_type", "key_value").agg(F.min("ord").alias("a"), F.max("ord").alias("last")).where("a < last").drop("last")
-    by_key = strong.join(firsts, ["key_type", "key_value"]).where("a < ord").select("a", F.col("ord").alias("b"))
+    by_key = joined(strong, firsts, ["key_type", "key_value"]).where("a < ord").select("a", F.col("ord").alias("b"))
     have = keys.groupBy("ord").agg(F.max(F.col("key_type") != "name").alias("strong"), F.max(F.when(F.col("key_type") == "name", F.col("key_value"))).alias("name")).where("name is not null")
     first_named = have.groupBy("name").agg(F.min_by("strong", "ord").alias("first_strong"), F.min("ord").alias("a"))
-    by_name = have.where("not strong").join(first_named.where("not first_strong"), "name").where("a < ord").select("a", F.col("ord").alias("b"))
+    by_name = joined(have.where("not strong"), first_named.where("not first_strong"), "name").where("a < ord").select("a", F.col("ord").alias("b"))
     return by_key.unionByName(by_name)
 
 
 def clustered(records: DataFrame) -> DataFrame:
     """Normalized records with cluster_id, the least ord of those that links lead to."""
     found = components(links(identity_keys(records)), "a", "b")
-    return records.join(found, records["ord"] == found["node"], "left").withColumn("cluster_id", F.coalesce("component", "ord")).drop("node", "component")
+    return joined(records, found, records["ord"] == found["node"], "left").withColumn("cluster_id", F.coalesce("component", "ord")).drop("node", "component")
 
 
 def numbered(ids: DataFrame, column: str) -> DataFrame:

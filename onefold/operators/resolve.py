@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from onefold.functions.text import rounded
 from onefold.model import AGREEMENT_BONUS, CONFLICT_PENALTY
 from onefold.operators.records import base_confidence
+from onefold.scratch import joined
 
 SCALARS = ("full_name", "headline", "years_experience")
 LISTS = ("emails", "phones")
@@ -166,4 +167,4 @@ def candidate_ids(clusters: DataFrame, numbers: DataFrame | None = None) -> Data
     own = F.coalesce(emails, F.replace(F.lower(name), F.lit(" "), F.lit("-")))
     if numbers is None:
         return clusters.withColumn("candidate_id", F.coalesce(own, F.concat(F.lit("candidate-"), F.col("cluster_id").cast("string"))))
-    return clusters.join(numbers, "cluster_id").withColumn("candidate_id", F.coalesce(own, F.concat(F.lit("candidate-"), F.col("number").cast("string")))).drop("number")
+    return joined(clusters, numbers, "cluster_id").withColumn("candidate_id", F.coalesce(own, F.concat(F.lit("candidate-"), F.col("number").cast("string")))).drop("number")

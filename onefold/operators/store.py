@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import groupby, islice
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,7 +31,7 @@ from onefold.operators.components import components
 from onefold.operators.durable import Versions
 from onefold.operators.records import identity_keys, normalized
 from onefold.operators.resolve import gathered, resolved
-from onefold.scratch import written
+from onefold.scratch import joined, written
 
 STRONG = ("email", "phone", "github")
 NAME_LEAST, LINK_LEAST = 92.0, 0.9
@@ -52,7 +55,7 @@ class Parts:
         out = [self.frames[-1]]
         for i in range(len(self.frames) - 1):
             later = reduce(DataFrame.unionByName, [x.select(self.key) for x in self.frames[i + 1 :]])
-            out.append(self.frames[i].join(later, self.key, "left_anti"))
+            out.append(joined(self.frames[i], later, self.key, "left_anti"))
         return reduce(lambda a, b: a.unionByName(b.select(a.columns)), out)
 
 
@@ -158,17 +161,20 @@ def score(known: set[tuple[str, str]], new: set[tuple[str, str]]) -> float:
     return round(ratio / 100, 4) if ratio >= NAME_LEAST else 0.0
 
 
-def _linked(block: pd.DataFrame) -> pd.DataFrame:
-    """In order, links each new record of a block to the best known or new person, or makes one. A new person's id is its base and its record's ord."""
-    people: dict[str, set[tuple[str, str]]] = {}
+def _linked(rows: Iterable[tuple]) -> Iterator[tuple[int, str]]:
+    """In order, links each new record of a block to the best known or new person, or makes one. A new person's id is its base and its record's ord.
+
+    `rows` are (ord, candidate_id, key_type, key_value), the keys of known people first, with ord -1, then those of new records by ord.
+    """
+    people: dict[str, set[tuple[str, str]]] = defaultdict(set)
     who: dict[tuple[str, str], set[str]] = defaultdict(set)
-    for cid, keys in block[block["candidate_id"].notna()].groupby("candidate_id"):
-        people[cid] = set(zip(keys["key_type"], keys["key_value"], strict=True))
-        for key in people[cid]:
-            who[key].add(cid)
-    out = []
-    for at, rows in block[block["candidate_id"].isna()].sort_values("ord").groupby("ord", sort=True):
-        keys = {(t, v) for t, v in zip(rows["key_type"], rows["key_value"], strict=True) if isinstance(t, str)}
+    for at, own in groupby(rows, itemgetter(0)):
+        if at < 0:
+            for _, cid, *key in own:
+                people[cid].add(tuple(key))
+                who[tuple(key)].add(cid)
+            continue
+        keys = {(kind, value) for _, _, kind, value in own if kind is not None}
         best, found = 0.0, None
         for cid in sorted(set().union(*(who[key] for key in keys))):
             if (s := score(people[cid], keys)) > best:
@@ -179,12 +185,18 @@ def _linked(block: pd.DataFrame) -> pd.DataFrame:
             emails, names = (sorted(v for t, v in keys if t == kind) for kind in ("email", "name"))
             base = emails[0] if emails else names[0].replace(" ", "-") if names else "candidate"
             found = f"\0{base}\0{at}"
-            people[found] = set()
         people[found] |= keys
         for key in keys:
             who[key].add(found)
-        out.append((int(at), found))
-    return pd.DataFrame(out, columns=["ord", "token"])
+        yield at, found
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ord, token) of rows (block, ord, candidate_id, key_type, key_value) in the order of blocks and ords, a block at a time."""
+    rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns), strict=True))
+    tokens = (token for _, block in groupby(rows, itemgetter(0)) for token in _linked(row[1:] for row in block))
+    while some := list(islice(tokens, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*some, strict=True), (pa.int64(), pa.string()), strict=True)], names=["ord", "token"])
 
 
 def _named(tokens: DataFrame, taken: DataFrame) -> DataFrame:
@@ -196,7 +208,7 @@ def _named(tokens: DataFrame, taken: DataFrame) -> DataFrame:
     last = used.unionByName(plain).groupBy("base").agg(F.max("n").alias("last"))
     turn = F.row_number().over(Window.partitionBy("base").orderBy("first"))
     number = F.coalesce("last", F.lit(0)) + turn
-    return new.join(last, "base", "left").select("token", F.when(number == 1, F.col("base")).otherwise(F.concat_ws("-", "base", number.cast("string"))).alias("candidate_id"))
+    return joined(new, last, "base", "left").select("token", F.when(number == 1, F.col("base")).otherwise(F.concat_ws("-", "base", number.cast("string"))).alias("candidate_id"))
 
 
 def ingest(state: State, batch: DataFrame, origin: str | None = None) -> State:
@@ -210,34 +222,35 @@ def ingest(state: State, batch: DataFrame, origin: str | None = None) -> State:
     new = batch.withColumn("origin", own).withColumn("record_id", record_id(own))
     new = new.withColumn("_turn", F.row_number().over(Window.partitionBy("record_id").orderBy("ord"))).where("_turn = 1").drop("_turn")
     known = state.records.select("record_id", F.col("candidate_id").alias("known_id"))
-    new = written(new.join(known, "record_id", "left").where("known_id is null or origin is not null"), "batch")
+    new = written(joined(new, known, "record_id", "left").where("known_id is null or origin is not null"), "batch")
     refreshed = new.where("known_id is not null").withColumn("candidate_id", F.col("known_id"))
     fresh = new.where("known_id is null")
 
     every = written(identity_keys(normalized(new, fuzzy=False)), "keys")  # ord tells the records of a batch apart
-    keys = every.join(fresh.select("ord"), "ord", "left_semi")
-    usable = written(keys.where("key_type <> 'name'").unionByName(keys.join(keys.where("key_type <> 'name'").select("ord"), "ord", "left_anti")), "usable")
+    keys = joined(every, fresh.select("ord"), "ord", "left_semi")
+    usable = written(keys.where("key_type <> 'name'").unionByName(joined(keys, keys.where("key_type <> 'name'").select("ord"), "ord", "left_anti")), "usable")
     old = state.keys.drop("record_id").distinct()
-    touched = old.join(usable.select("key_type", "key_value").distinct(), ["key_type", "key_value"], "left_semi").select("candidate_id").distinct()
-    old = written(old.join(touched, "candidate_id", "left_semi"), "known")  # the keys of people whom the batch may mean
+    touched = joined(old, usable.select("key_type", "key_value").distinct(), ["key_type", "key_value"], "left_semi").select("candidate_id").distinct()
+    old = written(joined(old, touched, "candidate_id", "left_semi"), "known")  # the keys of people whom the batch may mean
     strong_ids = old.where("key_type <> 'name'").select("candidate_id").distinct()
-    candidates = old.where("key_type <> 'name'").unionByName(old.where("key_type = 'name'").join(strong_ids, "candidate_id", "left_anti").select(old.columns))
+    candidates = old.where("key_type <> 'name'").unionByName(joined(old.where("key_type = 'name'"), strong_ids, "candidate_id", "left_anti").select(old.columns))
     nodes = usable.select(F.concat(F.lit("r"), F.col("ord").cast("string")).alias("node"), "key_type", "key_value", "ord", F.lit(None).cast("string").alias("candidate_id"))
     nodes = written(nodes.unionByName(candidates.select(F.concat(F.lit("c"), F.col("candidate_id")).alias("node"), "key_type", "key_value", F.lit(None).cast("long").alias("ord"), "candidate_id")), "nodes")
     hubs = nodes.groupBy("key_type", "key_value").agg(F.min("node").alias("hub"))
-    blocks = components(nodes.join(hubs, ["key_type", "key_value"]).select("node", "hub"), "node", "hub")
-    blocked = nodes.join(blocks, "node", "left").withColumn("block", F.coalesce("component", "node"))
-    # -1 for who is known: a null would make the ords of new records floats
-    tokens = blocked.select("block", F.coalesce("ord", F.lit(-1)).alias("ord"), "candidate_id", "key_type", "key_value").groupBy("block").applyInPandas(_linked, "ord long, token string")
-    bare = fresh.join(usable.select("ord").distinct(), "ord", "left_anti").select("ord", F.concat(F.lit("\0candidate\0"), F.col("ord").cast("string")).alias("token"))
+    blocks = components(joined(nodes, hubs, ["key_type", "key_value"]).select("node", "hub"), "node", "hub")
+    blocked = joined(nodes, blocks, "node", "left").withColumn("block", F.coalesce("component", "node"))
+    # a number of partitions of our own, as blocks are small but many, and Spark would put them all into one by their bytes
+    dealt = blocked.select("block", F.coalesce("ord", F.lit(-1)).alias("ord"), "candidate_id", "key_type", "key_value").repartition(int(state.spark.conf.get("spark.sql.shuffle.partitions")), "block")
+    tokens = dealt.sortWithinPartitions("block", "ord").mapInArrow(_blocks, "ord long, token string")
+    bare = joined(fresh, usable.select("ord").distinct(), "ord", "left_anti").select("ord", F.concat(F.lit("\0candidate\0"), F.col("ord").cast("string")).alias("token"))
     tokens = written(tokens.unionByName(bare), "tokens")
     ids = _named(tokens, state.parts["records"].whole().select("candidate_id").distinct())
-    linked = fresh.join(tokens, "ord").join(ids, "token", "left").withColumn("candidate_id", F.coalesce(ids["candidate_id"], F.col("token")))
+    linked = joined(joined(fresh, tokens, "ord"), ids, "token", "left").withColumn("candidate_id", F.coalesce(ids["candidate_id"], F.col("token")))
     columns = state.parts["records"].frames[0].columns
     added = _put(state, linked.select(columns).unionByName(refreshed.select(columns)), "records")
     state = _added(state, "records", "record_id", added)
     # a record without keys has a row too, so that the keys it had count no more
-    state = _added(state, "keys", "record_id", added.select("record_id", "candidate_id", "ord").join(every, "ord", "left").select("record_id", "candidate_id", "key_type", "key_value"))
+    state = _added(state, "keys", "record_id", joined(added.select("record_id", "candidate_id", "ord"), every, "ord", "left").select("record_id", "candidate_id", "key_type", "key_value"))
     return _saved(state, added.select("candidate_id").distinct())
 
 
@@ -259,14 +272,14 @@ def resolve(state: State, only: DataFrame | None = None, fuzzy: bool = True) ->
     """Reported people, or those of `only`. A person's records are in the order of their ids, corrections last."""
     records, fixes = state.records, overrides(state.corrections)
     if only is not None:
-        records, fixes = (x.join(only, "candidate_id", "left_semi") for x in (records, fixes))
+        records, fixes = (joined(x, only, "candidate_id", "left_semi") for x in (records, fixes))
     order = F.row_number().over(Window.partitionBy("candidate_id").orderBy("record_id")).cast("long")
     rows = records.withColumn("ord", order).drop("record_id", "origin").unionByName(fixes, allowMissingColumns=True)
-    learned = calibration.weights(calibration.report(state.spark, state.displaced, state.records))
+    learned = None if state.displaced.isEmpty() else calibration.weights(calibrated(state))
     people = trust.reported(resolved(gathered(normalized(rows, fuzzy), "candidate_id"), "candidate_id", learned), state.threshold)
     reviewed = state.reviewed.distinct().withColumn("_reviewed", F.lit(True))
     status = F.when(F.col("_reviewed"), "reviewed").when(F.col("needs_review"), "needs_review").otherwise("accepted")
-    return people.join(reviewed, "candidate_id", "left").withColumn("status", status).drop("_reviewed", "recs")
+    return joined(people, reviewed, "candidate_id", "left").withColumn("status", status).drop("_reviewed", "recs")
 
 
 def _saved(state: State, touched: DataFrame) -> State:
@@ -284,7 +297,7 @@ def winner_source(people: DataFrame, corrections: DataFrame) -> DataFrame:
     fields = {f: F.coalesce(F.get(F.filter(f"considered_{f}", lambda o: o["won"]), F.lit(0))["source"], F.get(F.col(f"considered_{f}"), F.lit(0))["source"]) for f in ("full_name", "headline", "years_experience")}
     fields |= {f: F.get(F.col(f"considered_{f}"), F.lit(0))["source"] for f in ("emails", "phones")}
     found = people.select("candidate_id", *[c.alias(f) for f, c in fields.items()]).unpivot("candidate_id", list(fields), "field", "source")
-    return corrections.join(found, ["candidate_id", "field"]).where("source is not null and source <> 'recruiter_override'").select("source")
+    return joined(corrections, found, ["candidate_id", "field"]).where("source is not null and source <> 'recruiter_override'").select("source")
 
 
 def correct(state: State, corrections: DataFrame) -> State:
@@ -301,7 +314,7 @@ def review(state: State, ids: DataFrame) -> State:
 
 def delete(state: State, ids: DataFrame) -> State:
     """Forgets people. What their sources lost in weight stays lost."""
-    without = lambda df, name: _put(state, df.join(ids, "candidate_id", "left_anti").select(df.columns), name)
+    without = lambda df, name: _put(state, joined(df, ids, "candidate_id", "left_anti").select(df.columns), name)
     parts = {name: Parts(x.key, (without(x.whole(), name),)) for name, x in state.parts.items()}
     return replace(state, parts=parts, reviewed=without(state.reviewed, "reviewed"), corrections=without(state.corrections, "corrections"))
 

@@ -12,7 +12,7 @@ from onefold.operators import projection, trust
 from onefold.operators.records import clustered, normalized, numbered
 from onefold.operators.resolve import candidate_ids, gathered, resolved
 from onefold.sources import ats, csv, lookup, text
-from onefold.scratch import written
+from onefold.scratch import joined, written
 
 
 def listed(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
@@ -53,7 +53,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame | None:
 def ordered(records: DataFrame, place: list[str]) -> DataFrame:
     """Records with ord, their number in the order of `place`."""
     records = written(records.withColumn("_key", F.struct(*place)), "records")
-    return records.join(numbered(records, "_key"), "_key").withColumnRenamed("number", "ord").drop("_key", *place)
+    return joined(records, numbered(records, "_key"), "_key").withColumnRenamed("number", "ord").drop("_key", *place)
 
 
 def people(records: DataFrame, weights: dict[str, float] | None = None, threshold: float = REVIEW_THRESHOLD, users: DataFrame | None = None, repositories: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:

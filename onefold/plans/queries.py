@@ -11,7 +11,7 @@ from onefold.functions import contact, dates, places, skills
 from onefold.operators import projection, records, trust
 from onefold.operators.resolve import candidate_ids, gathered, resolved
 from onefold.plans import derived, oracle
-from onefold.scratch import written
+from onefold.scratch import joined, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -133,8 +133,8 @@ def cluster_components(spark, sf_dir):
 @query("SELECT h.ord, d.a AS first FROM have h JOIN named d ON h.name = d.name WHERE NOT h.strong AND NOT d.strong AND d.a < h.ord")
 def cluster_name_fallback(spark, sf_dir):
     keys = records.identity_keys(normal(spark, sf_dir))
-    weak = keys.join(keys.where("key_type <> 'name'").select("ord").distinct(), "ord", "left_anti").select("ord")
-    return records.links(keys).join(weak, F.col("b") == weak["ord"]).select("ord", F.col("a").alias("first"))
+    weak = joined(keys, keys.where("key_type <> 'name'").select("ord").distinct(), "ord", "left_anti").select("ord")
+    return joined(records.links(keys), weak, F.col("b") == weak["ord"]).select("ord", F.col("a").alias("first"))
 
 
 @query("SELECT cluster_id, candidate_id FROM ids")

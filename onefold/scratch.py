@@ -46,6 +46,11 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return found
 
 
+def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of tables that grow, never by a broadcast: Spark takes a compressed file for as small as it is on disk, and would send many times that through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

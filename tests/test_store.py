@@ -132,3 +132,14 @@ def test_stale_keys_link_no_more(spark, frame):
     state = store.ingest(state, rows.withColumn("from", rows["source"]), "from")
     state = store.ingest(state, frame({"ord": 2, "source": "resume", "method": "regex", "emails": ["old@x.com"]}, {"ord": 3, "source": "resume", "method": "regex", "emails": ["new@x.com"]}))
     assert sorted(members(state).values()) == [1, 2]
+
+
+def test_blocks_across_batches():
+    """Blocks are told apart in a stream of Arrow batches, wherever those end; known people come first."""
+    import pyarrow as pa
+
+    rows = [("a", -1, "p1", "email", "x"), ("a", -1, "p1", "phone", "1"), ("a", 3, None, "email", "x"), ("a", 3, None, "phone", "2"), ("a", 7, None, "phone", "2"), ("b", 3, None, "email", "z"), ("b", 4, None, "email", "z"), ("b", 9, None, "name", "bob")]
+    names = ["block", "ord", "candidate_id", "key_type", "key_value"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema=pa.schema([("block", pa.string()), ("ord", pa.int64()), *[(n, pa.string()) for n in names[2:]]])) for row in rows]
+    found = [tuple(r.values()) for batch in store._blocks(batches) for r in batch.to_pylist()]
+    assert found == [(3, "p1"), (7, "p1"), (3, "\0z\x003"), (4, "\0z\x003"), (9, "\0bob\x009")]
