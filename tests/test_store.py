@@ -134,6 +134,14 @@ def test_stale_keys_link_no_more(spark, frame):
     assert sorted(members(state).values()) == [1, 2]
 
 
+def test_nothing_that_grows_is_broadcast(spark, frame, some, monkeypatch):
+    """Tables are small on disk and large in memory, so joins must not go by their files' sizes."""
+    monkeypatch.setattr(store, "_saved", lambda state, touched: state)  # people are resolved below
+    state = store.ingest(store.ingest(store.empty(spark), some), frame({"ord": 5, "source": "resume", "method": "regex", "full_name": "Other", "phones": ["415-555-0132"]}))
+    for rows in (state.records, state.keys, store.resolve(state)):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_blocks_across_batches():
     """Blocks are told apart in a stream of Arrow batches, wherever those end; known people come first."""
     import pyarrow as pa
