@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onefold.functions.text import rounded
+from onefold.functions.text import once, rounded
 from onefold.model import AGREEMENT_BONUS, CONFLICT_PENALTY
 from onefold.operators.records import base_confidence
 from onefold.scratch import joined
@@ -58,6 +58,19 @@ def _scalar(field: str, weights: dict[str, float] | None) -> dict[str, Column]:
     return {"rank": ranked, "won": won}
 
 
+def _most_sources(rows: Column, field: str) -> Column:
+    """The most sources that gave one value of a list: a count over sorted pairs, as large clusters have about as many values as records."""
+    pairs = F.array_sort(F.flatten(F.transform(rows, lambda r: F.transform(r[field], lambda v: F.struct(v.alias("value"), r["source"].alias("source"))))))
+    none = F.lit(None).cast("string")
+
+    def counted(so_far: Column, pair: Column) -> Column:
+        same = so_far["value"].eqNullSafe(pair["value"])
+        run = F.when(~same, F.lit(1)).when(so_far["source"].eqNullSafe(pair["source"]), so_far["run"]).otherwise(so_far["run"] + 1)
+        return F.struct(pair["value"].alias("value"), pair["source"].alias("source"), run.alias("run"), F.greatest(so_far["most"], run).alias("most"))
+
+    return F.aggregate(pairs, F.struct(none.alias("value"), none.alias("source"), F.lit(0).alias("run"), F.lit(0).alias("most")), counted, lambda x: x["most"])
+
+
 def resolved(clusters: DataFrame, by: str = "cluster_id", weights: dict[str, float] | None = None) -> DataFrame:
     """The canonical record of each cluster (by, recs): its fields, provenance, field_confidence, overall_confidence and trace.
 
@@ -83,9 +96,8 @@ def resolved(clusters: DataFrame, by: str = "cluster_id", weights: dict[str, flo
     for field in LISTS:
         some = F.filter("recs", lambda r: F.size(r[field]) > 0)
         values = F.array_distinct(F.flatten(F.transform(some, lambda r: r[field])))
-        sources = lambda v: F.size(F.array_distinct(F.transform(F.filter(some, lambda r: F.array_contains(r[field], v)), lambda r: r["source"])))  # noqa: B023, E731
         out = out.withColumn(field, values)
-        agree = F.array_max(F.transform(F.col(field), sources))
+        agree = _most_sources(some, field)
         base = F.array_max(_based(some, field, weights))
         dropped = F.aggregate(F.filter("recs", lambda r: r[field].isNotNull()), F.lit(0), lambda n, r: n + F.greatest(F.lit(0), r[f"given_{field}"] - F.size(r[field])))
         out = out.withColumn(f"c_{field}", F.when(F.size(field) > 0, adjusted(base, agree))).withColumn(f"dropped_{field}", dropped).withColumn(f"p_{field}", _provenance(some, field))
@@ -114,7 +126,7 @@ def _located(out: DataFrame, ranked: Column, weights: dict[str, float] | None) -
     rows = F.filter(ranked, lambda r: r["place"].isNotNull())
     first = lambda part: F.get(F.filter(rows, lambda r: r["place"][part].isNotNull()), F.lit(0))
     parts = ("city", "region", "country")
-    gave = F.filter(rows, lambda r: F.coalesce(*[F.when(r["ord"] == first(p)["ord"], True) for p in parts], F.lit(False)))
+    gave = once(F.array(*[first(p)["ord"] for p in parts]), lambda firsts: F.filter(rows, lambda r: F.array_contains(firsts, r["ord"])))
     return (
         out.withColumn("location", F.struct(*[first(p)["place"][p].alias(p) for p in parts]))
         .withColumn("c_location", F.when(F.size(gave) > 0, F.array_max(_based(gave, "location", weights))))
@@ -130,7 +142,8 @@ def _linked(out: DataFrame, ranked: Column) -> DataFrame:
     parts = ("linkedin", "github", "portfolio")
     others = lambda r: F.filter(F.coalesce(r["links"]["other"], F.array().cast("array<string>")), some)
     before = lambda r: F.flatten(F.transform(F.filter(rows, lambda q: (q["prio"] < r["prio"]) | ((q["prio"] == r["prio"]) & (q["ord"] < r["ord"]))), others))
-    gave = F.filter(rows, lambda r: F.coalesce(*[F.when(r["ord"] == first(p)["ord"], True) for p in parts], F.size(F.array_except(others(r), before(r))) > 0))
+    news = lambda r: (F.size(others(r)) > 0) & (F.size(F.array_except(others(r), before(r))) > 0)
+    gave = once(F.array(*[first(p)["ord"] for p in parts]), lambda firsts: F.filter(rows, lambda r: F.coalesce(F.array_contains(firsts, r["ord"]), F.lit(False)) | news(r)))
     every = F.array_distinct(F.flatten(F.transform(rows, others)))
     return out.withColumn("links", F.struct(*[first(p)["links"][p].alias(p) for p in parts], every.alias("other"))).withColumn("p_links", _provenance(gave, "links"))
 
