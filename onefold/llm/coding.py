@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from onefold.llm import common
-from onefold.llm.bpe import WordBPE, word_bpe
+from onefold.llm.bpe import CODED_BYTES, WordBPE, word_bpe
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -76,7 +76,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
-        for step in common.steps(batches, "text"):
+        for step in common.steps(batches, "text", CODED_BYTES):
             rows = []
             for packed in bpe.encode(step.column("text").to_pylist()):
                 ids = bpe.ids(packed).tolist()

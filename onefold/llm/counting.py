@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from onefold.llm import common
-from onefold.llm.bpe import SAME_CLASSES, WordBPE, word_bpe
+from onefold.llm.bpe import CODED_BYTES, SAME_CLASSES, WordBPE, word_bpe
 from onefold.llm.secrets import _matches
 
 VOCABULARY, LEAF = "byte_bpe_50k.json", 256
@@ -164,7 +164,7 @@ def plant(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
-        for step in common.steps(batches, "text"):
+        for step in common.steps(batches, "text", CODED_BYTES):
             cut = [leaves(text) for text in step.column("text").to_pylist()]
             n = np.array(counts([leaf for one in cut for leaf in one], bpe), np.int32)
             at = np.concatenate([[0], np.cumsum([len(one) for one in cut])]).astype(np.int32)

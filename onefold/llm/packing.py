@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from onefold.llm import common
-from onefold.llm.bpe import word_bpe
+from onefold.llm.bpe import CODED_BYTES, word_bpe
 
 VOCABULARY, END_ID, LENGTH = "byte_bpe_50k.json", 1, 2048
 
@@ -31,7 +31,7 @@ def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, at = word_bpe(path, special=True), TaskContext.get().partitionId(), 0
         end = np.array([end_id], bpe.dtype).tobytes()
-        for step in common.steps(batches, "text"):
+        for step in common.steps(batches, "text", CODED_BYTES):
             packed = [ids + end for ids in bpe.encode(step.column("text").to_pylist())]
             sizes = np.array([len(ids) for ids in packed], np.int64) // bpe.dtype.itemsize
             starts = at + np.concatenate([[0], np.cumsum(sizes)[:-1]])

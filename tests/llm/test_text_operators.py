@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from onefold.llm import coding, counting, html, minhash, packing, quality, queries, secrets, substrings
-from onefold.llm.bpe import word_bpe
+from onefold.llm.bpe import WordBPE, word_bpe
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 JSON, RANKS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"))
@@ -70,6 +70,29 @@ def test_ids_are_the_libraries(given):
         assert two.decode(two.ids(two.encode_one(text)).tolist()) == text.encode()
 
 
+def test_a_step_goes_to_the_library_once(given, tmp_path):
+    """New pre-tokens are given to the model together, and a text's last space stays with the white space before it."""
+    path = tmp_path / "own.tiktoken"
+    ranks = {bytes([i]): i for i in range(256)} | {b"\n ": 256, b"ab": 257}
+    path.write_bytes(b"".join(base64.b64encode(token) + b" %d\n" % rank for token, rank in ranks.items()))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    random.seed(7)
+    made = [" ".join("".join(random.choices("abcé1.\n", k=6)) for _ in range(20)) + random.choice(["", " ", "\n "]) for _ in range(300)]
+    bpe, calls = WordBPE(str(path)), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    library, bpe.bare = bpe.bare, Counted()
+    texts = [t for t in made if not re.search(r" \s", t) and not t.endswith("\n ")]
+    assert [bpe.ids(x).tolist() for x in bpe.encode(texts)] == list(map(own.encode_ordinary, texts)) and calls == [1]
+    every = [*made, "foo\n ", *(t or "" for _, t in given)]
+    assert [bpe.ids(x).tolist() for x in bpe.encode(every)] == list(map(own.encode_ordinary, every))
+    assert len(calls) <= 3 and own.encode_ordinary("foo\n ")[-1] == 256 == bpe.ids(bpe.encode_one("foo\n "))[-1]
+
+
 def test_round_trip(docs, given, none):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
