@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 5
 #: Pairs whose registers agree less than the similarity by so many standard deviations are not compared exactly: 5 in a million.
 DEVIATIONS = 4.4
+#: The bound on a similarity may be lower than its value by this much, as both are rounded.
+ROUNDING = 1e-9
 #: Bytes of the texts of a block, about, and its texts.
 BLOCK, BLOCK_TEXTS = 4 << 20, 1024
 
@@ -77,7 +80,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _registers(bands: int, rows: int):
-    """Of each text with words: the keys of its bands, and sixteen bits of each register."""
+    """Of each text with words: the keys of its bands, sixteen bits of each register, and its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in common.steps(batches, "text"):
@@ -89,29 +92,28 @@ def _registers(bands: int, rows: int):
                 band = mixed(band ^ held[:, r::rows])
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, bands, dtype=np.int32)), pa.array(band.ravel().view(np.int64)))
             short = [x.tobytes() for x in mixed(held).astype("<u2")]
-            yield pa.RecordBatch.from_arrays([step.column("doc_id").take(pa.array(some)), keys, pa.array(short, pa.binary())], ["doc_id", "bands", "registers"])
+            size = pc.binary_length(step.column("text")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([step.column("doc_id").take(pa.array(some)), keys, pa.array(short, pa.binary()), size.take(pa.array(some))], ["doc_id", "bands", "registers", "bytes"])
 
     return run
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two (sorted shingles, weights): sum over the common d of 1 / sum over all e of max(a[e] / a[d], b[e] / b[d])."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(i):
+    i = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    j = np.flatnonzero(a[0][i] == b[0])
+    if not len(j):
         return 0.0
-    every = np.union1d(a[0], b[0])
-    x, y = np.zeros(len(every)), np.zeros(len(every))
-    x[np.searchsorted(every, a[0])], y[np.searchsorted(every, b[0])] = a[1], b[1]
-    both = np.searchsorted(every, a[0][i])
-    if x.max() == 1 and y.max() == 1:
-        return len(both) / len(every)
-    # max(x[e] / x[d], y[e] / y[d]) is the first where x[e] / y[e] >= x[d] / y[d], so prefix sums by that ratio give all
-    with np.errstate(divide="ignore"):
-        ratio = np.where(y > 0, x / np.where(y > 0, y, 1), np.inf)
+    x, y = a[1][i[j]], b[1][j]
+    if a[1].max() == 1 and b[1].max() == 1:
+        return len(j) / (len(a[0]) + len(b[0]) - len(j))
+    # max(x[e] / x[d], y[e] / y[d]) is the first where x[e] / y[e] >= x[d] / y[d], so prefix sums by that ratio give all; what only
+    # one has comes last or first in that order whatever the pair, and so is one sum
+    ratio = x / y
     order = np.argsort(ratio, kind="stable")
     ys, xs = np.concatenate([[0], np.cumsum(y[order])]), np.concatenate([[0], np.cumsum(x[order])])
-    below = np.searchsorted(ratio[order], ratio[both], side="left")
-    return float((1 / ((xs[-1] - xs[below]) / x[both] + ys[below] / y[both])).sum())
+    below = np.searchsorted(ratio[order], ratio, side="left")
+    return float((1 / ((a[1].sum() - xs[below]) / x + (b[1].sum() - y.sum() + ys[below]) / y)).sum())
 
 
 def _by_steps(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +129,9 @@ def _by_steps(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _similar_across(least: int, similarity: float):
     """Of the texts of two blocks (or one): similar pairs that join different components, a forest of them.
 
-    Pairs whose registers agree in fewer than `least` places are passed over; the others are compared exactly.
+    Pairs whose registers agree in fewer than `least` places are passed over; the others are compared exactly, but for those that
+    a bound rules out: the sum over all e of max(a[e] / a[d], b[e] / b[d]) is at least the larger of sum(a) / a[d] and
+    sum(b) / b[d], so no similarity is above the sum over d of min(a[d] / sum(a), b[d] / sum(b)).
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -139,19 +143,25 @@ def _similar_across(least: int, similarity: float):
         text, key, weight = _by_steps(group)
         at = np.searchsorted(text, np.arange(len(ids) + 1))
         sizes, plain = np.diff(at), np.maximum.reduceat(weight, at[:-1]) == 1
-        found = []
+        part = weight / np.repeat(np.add.reduceat(weight, at[:-1]), sizes)
+        names, name = np.unique(key, return_inverse=True)
+        mine, found = np.zeros(len(names)), []
         for i in left:
-            j = right[component[right] != component[i]]
+            j = right[(component[right] != component[i]) & ((right > i) | (own[right] != own[i]))]
             j = j[(registers[j] == registers[i]).sum(1) >= least]
             if not len(j):
                 continue
-            mine = key[at[i] : at[i + 1]]
             begin = np.cumsum(sizes[j]) - sizes[j]
-            theirs = key[np.arange(sizes[j].sum()) + np.repeat(at[j] - begin, sizes[j])]
-            common_keys = np.add.reduceat((mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs).astype(np.int64), begin)
+            theirs = np.arange(sizes[j].sum()) + np.repeat(at[j] - begin, sizes[j])
+            here = name[at[i] : at[i + 1]]
+            mine[here] = part[at[i] : at[i + 1]]
+            shared = mine[name[theirs]]
+            mine[here] = 0
+            common_keys = np.add.reduceat((shared > 0).astype(np.int64), begin)
             value = common_keys / (sizes[i] + sizes[j] - common_keys)
+            bound = np.add.reduceat(np.minimum(shared, part[theirs]), begin)
             for k in np.flatnonzero(~(plain[j] & plain[i])):
-                value[k] = probability_jaccard(*((key[at[x] : at[x + 1]], weight[at[x] : at[x + 1]]) for x in (i, j[k])))
+                value[k] = 0 if bound[k] < similarity - ROUNDING else probability_jaccard(*((key[at[x] : at[x + 1]], weight[at[x] : at[x + 1]]) for x in (i, j[k])))
             j, value = j[value >= similarity], value[value >= similarity]
             joined, first = np.unique(component[j], return_index=True)
             found += [(min(ids[i], ids[j[k]]), max(ids[i], ids[j[k]]), value[k]) for k in first]
@@ -193,7 +203,7 @@ def _linked(docs: DataFrame, similarity: float, bands: int, rows: int) -> tuple[
     copies = common.written(known.join(firsts, ["h1", "h2"]).where("doc_id > first").select("doc_id", "k", "first").distinct(), "copies")
     originals = docs.where("doc_id is not null").join(copies, ["doc_id", "k"], "left_anti")
 
-    registers = common.written(originals.mapInArrow(_registers(bands, rows), "doc_id long, bands array<long>, registers binary"), "registers")
+    registers = common.written(originals.mapInArrow(_registers(bands, rows), "doc_id long, bands array<long>, registers binary, bytes long"), "registers")
     banded = registers.select("doc_id", F.explode("bands").alias("band"))
     sizes = common.written(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     members = common.written(banded.join(sizes, "band"), "members")
@@ -206,22 +216,19 @@ def _linked(docs: DataFrame, similarity: float, bands: int, rows: int) -> tuple[
     links = common.written(_verified(pairs, texts, similarity), "links")
     found = components(links, "a", "b")
 
-    known = common.written(stars.join(found, stars["doc_id"] == found["node"], "left").select("hub", "doc_id", F.coalesce("component", "doc_id").alias("component")), "known")
-    split = known.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("hub")
-    split = common.written(split, "split")
-    left = known.join(split, "hub").join(registers.select("doc_id", "registers"), "doc_id").join(texts, "doc_id")
-    left = common.written(left, "left")
-    blocks = left.groupBy("hub").agg(F.greatest(F.ceil(F.sum(F.octet_length("text")) / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
+    known = stars.join(found, stars["doc_id"] == found["node"], "left").select("hub", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    parts = known.join(registers.select("doc_id", "bytes"), "doc_id").groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("bytes").alias("bytes"), F.count("*").alias("texts"))
+    blocks = parts.where("x < y").select("hub", F.greatest(F.ceil(F.col("bytes") / BLOCK), F.ceil(F.col("texts") / BLOCK_TEXTS)).cast("int").alias("blocks"))
     blocks = common.written(blocks, "blocks")  # so that a hub with very many texts isn't dealt to one task for the join
-    left = left.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = known.join(blocks, "hub").join(registers.select("doc_id", "registers"), "doc_id").join(texts, "doc_id")
+    left = left.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "component", "registers", "text")
     size = bands * rows
     least = int(size * similarity - DEVIATIONS * (size * similarity * (1 - similarity)) ** 0.5)
     more = left.groupBy("hub", "lo", "hi").applyInArrow(_similar_across(least, similarity), "a long, b long, similarity double").distinct()
-    links = links.unionByName(common.written(more, "links"))
-    classes = components(links.select("a", "b").unionByName(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))), "a", "b")
-
-    return digests, copies, links, classes
+    more = common.written(more, "links")
+    ends = found.select("node", "component").union(more.select("a", "b")).union(copies.select("first", "doc_id"))  # by position; what was found stands for the first links
+    return digests, copies, links.unionByName(more), components(ends, "node", "component")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -355,6 +355,38 @@ def test_signatures_estimate_similarity():
     assert (held[0] == held[1]).mean() == pytest.approx(240 / 340, abs=0.05)
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_block_of_almost_similar_texts(monkeypatch, blocks):
+    """Few of the pairs of texts with repeated shingles, none twice, are compared shingle by shingle; all that join components are found."""
+    import pyarrow as pa
+
+    random.seed(12)
+    base = [f"b{i}" for i in range(90)]
+    texts = [" ".join([f"x{i}" if random.random() < share else w for w in base] * 3) for i, share in enumerate([0.05] * 45 + [0.003] * 15)]
+    sets = [collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(str.split, texts)]
+    pairs = {(i, j): similarity(sets[i], sets[j]) for i in range(60) for j in range(i)}
+    label = list(range(60))
+    for (i, j), value in pairs.items():
+        if value >= 0.8:
+            label = [label[j] if x == label[i] else x for x in label]
+    calls, exact = [], minhash.probability_jaccard
+    monkeypatch.setattr(minhash, "probability_jaccard", lambda a, b: calls.append(1) or exact(a, b))
+    own = [i % blocks for i in range(60)]
+    column = {"lo": [0] * 60, "hi": [blocks - 1] * 60, "own": own, "doc_id": range(60), "component": range(60), "registers": [bytes(360)] * 60, "text": texts}
+    compare, found = minhash._similar_across(0, 0.8), []
+    for lo, hi in sorted({(min(a, b), max(a, b)) for a in own for b in own}):
+        mine = [i for i in range(60) if own[i] in (lo, hi)]
+        group = pa.table({k: [v[i] for i in mine] for k, v in (column | {"lo": [lo] * 60, "hi": [hi] * 60}).items()})
+        found += compare(group).to_pylist()
+    merged = list(range(60))
+    for row in found:
+        assert row["similarity"] == pytest.approx(pairs[row["b"], row["a"]]) and row["similarity"] >= 0.8
+        merged = [merged[row["a"]] if x == merged[row["b"]] else x for x in merged]
+    same = lambda x: {(i, j) for i in range(60) for j in range(i) if x[i] == x[j]}
+    assert same(merged) == same(label) and same(label)
+    assert len(calls) < len(pairs) / 4
+
+
 def test_near_duplicates(spark, none):
     random.seed(10)
     vocabulary = [f"v{i}" for i in range(300)]

@@ -121,6 +121,19 @@ def test_components_against_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_in_few_stages(spark):
+    links = [(50, i) for i in range(100) if i != 50] * 5 + [(200 + i, 201 + i) for i in range(20)]
+    frame, tracker = spark.createDataFrame(links, "a long, b long"), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few stages", "")
+    try:
+        found = dict(components(frame, "a", "b").collect())
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert found == {i: 0 for i in range(100)} | {200 + i: 200 for i in range(21)}
+    ran = [tracker.getStageInfo(k) for k in {k for j in tracker.getJobIdsForGroup("few stages") for k in tracker.getJobInfo(j).stageIds}]
+    assert sum(x.numCompletedTasks > 0 for x in ran if x) <= 75  # each has as many tasks as the session shuffles to
+
+
 def test_resume_layouts(spark):
     from onefold.sources import text
 
