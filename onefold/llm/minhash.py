@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from onefold.llm import common
 from onefold.llm.words import Words, mixed, window_hashes, words
 from onefold.operators.components import components
+from onefold.scratch import joined
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8**5)**36, 6 in ten million.
@@ -140,15 +141,22 @@ def _similar_across(least: int, similarity: float):
         component = np.unique(group.column("component").to_numpy(), return_inverse=True)[1]
         left, right = (np.flatnonzero(own == group.column(side)[0].as_py()) for side in ("lo", "hi"))
         registers = np.frombuffer(b"".join(group.column("registers").to_pylist()), "<u2").reshape(len(ids), -1)
-        text, key, weight = _by_steps(group)
+        near = []
+        for i in left:
+            j = right[(component[right] != component[i]) & ((right > i) | (own[right] != own[i]))]
+            j = j[(registers[j] == registers[i]).sum(1) >= least]
+            near += [(i, j)] if len(j) else []
+        # only texts that are to be compared are cut into shingles
+        kept = np.unique(np.concatenate([np.append(j, i) for i, j in near])) if near else np.zeros(1, np.int64)
+        ids, component = ids[kept], component[kept]
+        text, key, weight = _by_steps(group.select(["text"]).take(pa.array(kept)))
         at = np.searchsorted(text, np.arange(len(ids) + 1))
         sizes, plain = np.diff(at), np.maximum.reduceat(weight, at[:-1]) == 1
         part = weight / np.repeat(np.add.reduceat(weight, at[:-1]), sizes)
         names, name = np.unique(key, return_inverse=True)
         mine, found = np.zeros(len(names)), []
-        for i in left:
-            j = right[(component[right] != component[i]) & ((right > i) | (own[right] != own[i]))]
-            j = j[(registers[j] == registers[i]).sum(1) >= least]
+        for i, j in ((np.searchsorted(kept, x) for x in pair) for pair in near):
+            j = j[component[j] != component[i]]
             if not len(j):
                 continue
             begin = np.cumsum(sizes[j]) - sizes[j]
@@ -245,7 +253,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     best = common.written(ends.groupBy("a").agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("linked_to"), F.max("similarity").alias("similarity")), "best")  # so that Spark can split the join of a first copy with very many others
     out = digests.select("doc_id", "k", "n_words").join(copies, ["doc_id", "k"], "left").select("doc_id", "n_words", F.coalesce("first", "doc_id").alias("copy_of"))
     out = out.join(best, out["copy_of"] == best["a"], "left")
-    return out.join(classes, out["doc_id"] == classes["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), "copy_of", "linked_to", "similarity", "n_words")
+    return joined(out, classes, out["doc_id"] == classes["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), "copy_of", "linked_to", "similarity", "n_words")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -385,6 +385,8 @@ def test_block_of_almost_similar_texts(monkeypatch, blocks):
     same = lambda x: {(i, j) for i in range(60) for j in range(i) if x[i] == x[j]}
     assert same(merged) == same(label) and same(label)
     assert len(calls) < len(pairs) / 4
+    lone = pa.table({k: list(v)[:3] for k, v in (column | {"lo": [5] * 60, "hi": [6] * 60, "own": [6] * 60}).items()})
+    assert compare(lone).num_rows == 0  # no text was dealt to block 5
 
 
 def test_near_duplicates(spark, none):
